@@ -7,17 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from contentmill.llm.ngram_join import ngram_jaccard_join
+from contentmill.llm.pii import find_pii, pii_digest
+from contentmill.llm.quality import classify_quality
+from contentmill.llm.secrets import scan_secrets, secret_digest
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(_read(spark, sf_dir, "documents")))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(_read(spark, sf_dir, "documents")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op6_pii": op6_pii,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 
