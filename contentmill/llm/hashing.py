@@ -62,10 +62,10 @@ class Block:
     ``word_at[i]:word_at[i + 1]`` the words of document ``first + i``.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, space: np.ndarray = SPACE):
         self.data, self.bounds, self.first, self.last = data, bounds, first, first + len(bounds) - 1
         n = len(data)
-        solid = ~SPACE[data]
+        solid = ~space[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[bounds] = True
         before = np.empty(n, dtype=bool)
@@ -105,8 +105,8 @@ class Block:
         return mix(out), bounds
 
 
-def blocks(text: pa.Array) -> Iterator[Block]:
-    """Blocks of whole documents; a null is an empty document."""
+def blocks(text: pa.Array, space: np.ndarray = SPACE) -> Iterator[Block]:
+    """Blocks of whole documents; a null is an empty document. ``space`` marks the bytes between words."""
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     rows = len(text)
@@ -119,10 +119,10 @@ def blocks(text: pa.Array) -> Iterator[Block]:
     if text.null_count:  # a null's bytes, if it has any, don't count
         dead = text.is_null().to_numpy(zero_copy_only=False)
         if (np.diff(offsets)[dead] > 0).any():
-            yield from blocks(text.fill_null(""))
+            yield from blocks(text.fill_null(""), space)
             return
     first = 0
     while first < rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, side="right")) - 1)
-        yield Block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first)
+        yield Block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, space)
         first = last

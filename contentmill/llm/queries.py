@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentmill.llm.decontaminate import contaminated
+from contentmill.llm.embedding_dedup import embedding_near_dedup
+from contentmill.llm.html_text import extract_text
+from contentmill.llm.licenses import scan_licenses
+from contentmill.llm.mixing import mix_sources
 from contentmill.llm.ngram_join import ngram_jaccard_join
 from contentmill.llm.pii import find_pii, pii_digest
 from contentmill.llm.quality import classify_quality
 from contentmill.llm.secrets import scan_secrets, secret_digest
+from contentmill.llm.url_filter import filter_urls
+
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,10 +28,22 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(_read(spark, sf_dir, "documents")))
 
@@ -32,11 +52,32 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secret_scans": op1_secret_scans,
-    "op3_quality_classifier": op3_quality_classifier,
-    "op6_pii": op6_pii,
-    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_url_filters,
+        op3_quality_classifier,
+        op4_embedding_near_dedup,
+        op5_license_scans,
+        op6_pii,
+        op7_ngram_jaccard_join,
+        op8_benchmark_decontamination,
+        op9_mixing_sources,
+        op10_html_extraction,
+    )
 }
 
 ORACLES: dict[str, str] = {}
