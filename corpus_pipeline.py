@@ -1,28 +1,72 @@
-"""Cleaning and mixing of a corpus: a fixed order of operators over ``documents``."""
+"""Cleaning and mixing of a corpus: a fixed order of operators over ``documents``.
+
+Each stage takes what its predecessor kept, as a table in the shared folder, and all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contentmill.llm.decontaminate import decontaminate
+from contentmill.llm.mixing import mix_sources
 from contentmill.llm.ngram_join import ngram_jaccard_join
+from contentmill.llm.quality import fit_quality, keep_quality
+from contentmill.llm.secrets import mask_secrets
 from contentmill.llm.workspace import Workspace
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    classes = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(classes, "doc_id", "left_semi").select(docs.columns)
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It is fitted on the table's own labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_quality(docs, labels, id_col="doc_id", text_col="text", label_col="quality")
+    return keep_quality(docs, model)
+
+
+def ngram_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id; of
+    rows that repeat an id one stays. Rows without an id aren't grouped and stay."""
+    kept = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays, and ``n_chars`` follows."""
+    return mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training order of the kept documents: one row for each document and pass."""
+    return mix_sources(docs)
 
 
-STAGES = [("near_copies", near_copies)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_near_copies", ngram_near_copies),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("mixing_sources", mixing_sources),
+]
 
+#: A trained classifier has no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again."""
+    """Applies the stages to ``documents``; each result is written and read again."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = ws.table(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return docs
