@@ -189,6 +189,20 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
     return texts.mapInArrow(run, "id long, score double").select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all columns, without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(at).cast(pa.string())
+            score = [model.score(statistics(block)) for block in blocks(text)]
+            if score:
+                yield batch.filter(pa.array(np.concatenate(score) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: the id, ``held_out``, ``score`` in 0..1 and ``predicted``.
 
