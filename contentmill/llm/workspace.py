@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,15 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self._release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _release(self) -> None:
+        """Lets the cleaner remove shuffle files of finished steps, which it does once
+        the driver's handles to them are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
