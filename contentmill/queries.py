@@ -1,10 +1,447 @@
-"""Driver queries of the content-bank operators and their SQL."""
+"""Driver queries of the content-bank operators and their SQL.
+
+Roles of the driver tables: orders are questions (status F is approved), market segments
+are subjects, ship dates of returned lines are uses, documents are passages, benchmark
+texts are quotations, part names and types are names to reconcile, events are anchors
+and probes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from contentmill.functions import naming, text
+from contentmill.operators import catalog, draws, generation, matching, parsing, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+QUOTAS = (("MACHINERY", 30, 0), ("BUILDING", 50, 1), ("HOUSEHOLD", 10, 2), ("AUTOMOBILE", 20, 3), ("FURNITURE", 40, 4))
+_QUOTA_SQL = "(values " + ", ".join(f"('{s}', {q}, {p})" for s, q, p in QUOTAS) + ") as q(segment, quantity, position)"
+_STOCK_SQL = """
+    uses as (select l_orderkey, count(*) as n_used, max(l_shipdate) as last_used from lineitem where l_returnflag = 'A' group by 1),
+    stock as (
+        select o_orderkey, c_mktsegment as segment, coalesce(n_used, 0) as n_used, last_used
+        from orders join customer on o_custkey = c_custkey left join uses on l_orderkey = o_orderkey
+        where o_orderstatus = 'F'
+    )"""
+
+
+def _stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_shipdate")).alias("used"))
+    orders = _read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.join(uses, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("c_mktsegment").alias("segment"), "used")
+
+
+def _quotas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUOTAS, "segment string, quantity int, position int")
+
+
+@query(f"""
+    with {_STOCK_SQL},
+    ranked as (select *, row_number() over (partition by segment order by n_used, last_used asc nulls first, o_orderkey) as rank from stock join {_QUOTA_SQL} using (segment)),
+    short as (select 1 from {_QUOTA_SQL} where (select count(*) from stock s where s.segment = q.segment) < quantity)
+    select segment, o_orderkey, cast(position as bigint) as position, rank, n_used from ranked where rank <= quantity and not exists (select * from short)""")
+def draw_stratified(spark, sf_dir):
+    drawn = draws.draw_stratified(_stock(spark, sf_dir), _quotas(spark), "segment", "used", "o_orderkey", largest=max(q for _, q, _ in QUOTAS))
+    return drawn.select("segment", "o_orderkey", F.col("position").cast("long"), F.col("rank").cast("long"), F.size(F.coalesce("used", F.array())).cast("long").alias("n_used"))
+
+
+@query(f"with {_STOCK_SQL} select o_orderkey, segment, n_used from stock order by n_used, last_used asc nulls first, o_orderkey limit 25")
+def draw_topk(spark, sf_dir):
+    return draws.draw(_stock(spark, sf_dir), 25, "used", "o_orderkey").select("o_orderkey", "segment", F.size(F.coalesce("used", F.array())).cast("long").alias("n_used"))
+
+
+@query(f"""
+    with {_STOCK_SQL}, have as (select segment, count(*) as available from stock group by 1)
+    select segment, cast(quantity * 1000000 as bigint) as quantity, coalesce(available, 0) as available from {_QUOTA_SQL} left join have using (segment) where coalesce(available, 0) < quantity * 1000000""")
+def draw_shortage_report(spark, sf_dir):
+    much = _quotas(spark).withColumn("quantity", F.col("quantity").cast("long") * 1000000)
+    return draws.shortages(_stock(spark, sf_dir), much, "segment")
+
+
+@query("""
+    with book as (select c_mktsegment as subject, n_name as topic, min(c_custkey) as first from customer join nation on c_nationkey = n_nationkey where c_acctbal > 9000 group by 1, 2),
+    bank as (select c_mktsegment as subject, n_name as topic, min(o_orderkey) as first from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = 'F' group by 1, 2)
+    select subject, topic, 0 as tier from book union all select subject, topic, 1 from bank where (subject, topic) not in (select (subject, topic) from book)""")
+def ordered_distinct(spark, sf_dir):
+    customers = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("subject"), F.col("n_name").alias("topic"))
+    bank = _read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return catalog.first_seen([(customers.where("c_acctbal > 9000"), ["c_custkey"]), (bank, ["o_orderkey"])], ["subject", "topic"])
+
+
+@query("select distinct c_mktsegment from customer")
+def distinct_sorted(spark, sf_dir):
+    return catalog.distinct_sorted(_read(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query("select distinct event_type from events where value > 50 and event_type <> ''")
+def filtered_distinct(spark, sf_dir):
+    return catalog.distinct_sorted(_read(spark, sf_dir, "events").where((F.col("value") > 50) & text.filled(F.col("event_type"))), "event_type")
+
+
+@query("""
+    select n_name from nation where n_nationkey in (select s_nationkey from supplier)
+    union select n_name from nation where n_nationkey in (select c_nationkey from customer) and n_nationkey not in (select s_nationkey from supplier)""")
+def union_with_anti(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    books = nation.join(_read(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_name")
+    bank = nation.join(_read(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name")
+    return books.union(matching.unseen(bank, books, ["n_name"])).distinct().orderBy("n_name")
+
+
+@query("""
+    with docs as (select lang, source, min(doc_id) as id from documents where n_chars > 6000 group by 1, 2),
+    rest as (select lang, source, min(doc_id) as id from documents join labels using (doc_id) where quality = 1 group by 1, 2)
+    select coalesce(d.lang, r.lang) as lang, coalesce(d.source, r.source) as source, coalesce(d.id, r.id) as doc_id, case when d.id is null then 1 else 0 end as tier from docs d full join rest r on d.lang = r.lang and d.source = r.source""")
+def tiered_fallback(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), _read(spark, sf_dir, "labels")
+    long_ones = docs.where("n_chars > 6000").select("lang", "source", "doc_id")
+    good = docs.join(labels.where("quality = 1"), "doc_id").select("lang", "source", "doc_id")
+    return matching.first_tier([long_ones, good], ["lang", "source"], "doc_id")
+
+
+_UPSERT_SQL = """
+    with new as (select source, sha256(text) as hash, min(doc_id) as doc_id from documents where doc_id % 3 <> 0 and text is not null group by 1, 2),
+    stored as (select distinct source, sha256(text) as hash from documents where doc_id % 3 = 0 and text is not null)"""
+
+
+def _upsert(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", text.content_hash(F.col("text")).alias("hash"))
+    new, stored = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    return new, store.new_rows(new, stored, ["source", "hash"], "doc_id")
+
+
+@query(_UPSERT_SQL + " select doc_id, source, hash from new where (source, hash) not in (select (source, hash) from stored)")
+def upsert_dedup(spark, sf_dir):
+    return _upsert(spark, sf_dir)[1].select("doc_id", "source", "hash")
+
+
+@query(_UPSERT_SQL + """ select count(*) as inserted, (select count(*) from documents where doc_id % 3 <> 0 and text is not null) - count(*) as duplicates
+    from new where (source, hash) not in (select (source, hash) from stored)""")
+def upsert_counts(spark, sf_dir):
+    return store.upsert_counts(*_upsert(spark, sf_dir))
+
+
+@query("select sha256(text) as content_hash, min(doc_id) as doc_id from documents where text is not null group by 1")
+def content_dedup(spark, sf_dir):
+    return catalog.distinct_content(_read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "text", "doc_id").select("content_hash", "doc_id")
+
+
+@query("select d.doc_id, case when l.doc_id is not null then 'label' else source end as source, l.doc_id is not null as matched from documents d left join labels l using (doc_id)")
+def update_by_key(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return store.update_by_key(docs, _read(spark, sf_dir, "labels").select("doc_id", F.lit("label").alias("source")), ["doc_id"], ["source"])
+
+
+@query("select count(*) filter (where l.doc_id in (select doc_id from documents)) as updated, count(*) filter (where l.doc_id not in (select doc_id from documents)) as missing from labels l")
+def update_counts(spark, sf_dir):
+    return store.match_counts(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+
+
+@query("select doc_id, lang, doc_id in (select doc_id from labels) and lang = 'en' as deleted from documents")
+def delete_returning(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    kept, gone = store.delete_returning(docs, _read(spark, sf_dir, "labels").select("doc_id"), "doc_id", only=F.col("lang") == "en")
+    return kept.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+
+
+@query("""
+    select d.doc_id, case when quality is null then 'pendente_revisao' when quality = 1 then 'aprovada' else 'rejeitada' end as status,
+        case when quality is null then null else 'judge' end as revisado_por, case when quality = 0 then 'low' end as motivo_rejeicao
+    from documents d left join labels l on d.doc_id = l.doc_id""")
+def review_transition(spark, sf_dir):
+    none = F.lit(None)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit("pendente_revisao").alias("status"), none.cast("string").alias("revisado_por"), none.cast("timestamp").alias("revisado_em"), none.cast("string").alias("motivo_rejeicao"))
+    told = _read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "aprovada").otherwise("rejeitada").alias("decision"), F.lit("judge").alias("reviewer"), F.lit("low").alias("reason"))
+    return store.review(docs, told, key="doc_id", at=F.lit("2025-01-01 00:00:00").cast("timestamp")).select("doc_id", "status", "revisado_por", "motivo_rejeicao")
+
+
+@query(f"""
+    with {_STOCK_SQL}, top as (select o_orderkey from stock order by n_used, last_used asc nulls first, o_orderkey limit 25)
+    select o_orderkey, n_used + case when o_orderkey in (select o_orderkey from top) then 1 else 0 end as n_used from stock""")
+def append_usage(spark, sf_dir):
+    stock = _stock(spark, sf_dir)
+    picked = draws.candidates(stock, "used", "o_orderkey").limit(25)
+    at = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    used = stock.withColumn("used", F.coalesce("used", F.array().cast("array<timestamp_ntz>")))
+    return store.append_use(used, picked, "o_orderkey", "used", at).select("o_orderkey", F.size("used").cast("long").alias("n_used"))
+
+
+@query(r"""
+    with p as (select doc_id, upper(regexp_replace(text, '[\s\x{00a0}$°ºª]', '', 'g')) as t from documents),
+    q as (select item_id, upper(regexp_replace(text, '[\s\x{00a0}$°ºª]', '', 'g')) as t from benchmark)
+    select doc_id, item_id from p join q on contains(p.t, q.t) where q.t <> ''""")
+def literal_containment(spark, sf_dir):
+    return matching.literal_matches(_read(spark, sf_dir, "documents"), "text", _read(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "quote").select("doc_id", "item_id")
+
+
+@query("""select doc_id, cast(len(regexp_extract_all(text, '"[^"]+"|''[^'']+''|“[^”]+”|‘[^’]+’')) as bigint) as n, len(regexp_extract_all(text, '"[^"]+"|''[^'']+''|“[^”]+”|‘[^’]+’')) > 0 as held from documents where text is not null""")
+def citation_validate(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.size(text.quotations(F.col("text"))).cast("long").alias("n"), text.quotations_hold(F.col("text"), F.col("text"), F.lit(True)).alias("held"))
+
+
+@query("""
+    with a as (select user_id, ts, value, event_id from events where event_type = 'signup'),
+    p as (select event_id, user_id, ts from events where event_type = 'purchase')
+    select p.event_id, p.user_id, arg_max(a.event_id, (a.ts, a.event_id)) as signup from p left join a on a.user_id = p.user_id and a.ts <= p.ts group by 1, 2""")
+def asof_backward(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    anchors = events.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup"))
+    return matching.asof_backward(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), anchors, ["user_id"], "ts", "signup").select("event_id", "user_id", "signup")
+
+
+@query("""
+    with e as (select event_id, user_id, event_type, epoch_us(ts) as pos from events),
+    s as (select p.event_id, max(x.pos) as pos from e p join e x on x.user_id = p.user_id and x.event_type = 'signup' and x.pos <= p.pos where p.event_type = 'click' group by 1),
+    t as (select p.event_id, max(x.pos) as pos from e p join e x on x.user_id = p.user_id and x.event_type = 'purchase' and x.pos <= p.pos where p.event_type = 'click' group by 1)
+    select p.event_id, coalesce(s.pos, -1) > coalesce(t.pos, -1) as inside
+    from e p left join s on s.event_id = p.event_id left join t on t.event_id = p.event_id where p.event_type = 'click'""")
+def inside_interval(spark, sf_dir):
+    events = _read(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    pick = lambda kind: events.where(F.col("event_type") == kind).select("event_id", "user_id", "at")
+    return matching.inside_item(pick("click"), pick("signup"), pick("purchase"), ["user_id"], "at").select("event_id", "inside")
+
+
+@query("""
+    with spans as (select l_orderkey, l_linenumber as i, l_linenumber as lo, l_linenumber + 2 as hi, l_shipdate, cast(l_partkey as varchar) as part from lineitem where l_returnflag = 'R')
+    select l.l_orderkey, cast(l.l_linenumber as bigint) as l_linenumber, arg_min(s.part, (s.i, s.part)) as part from lineitem l left join spans s on s.l_orderkey = l.l_orderkey and l.l_linenumber between s.lo and s.hi group by 1, 2""")
+def range_first(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    spans = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + 2).alias("hi"), F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("part")).alias("i"), F.col("l_partkey").cast("string").alias("part"))
+    found = matching.first_interval(lines.select("l_orderkey", "l_linenumber"), spans, ["l_orderkey"], "l_linenumber", start="lo", end="hi", order="i", value="part")
+    return found.select("l_orderkey", F.col("l_linenumber").cast("long"), "part")
+
+
+_SIDES_SQL = "with u as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as i from conversations where role = 'user'), a as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as i from conversations where role = 'assistant')"
+
+
+def _sides(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return turns.where("role = 'user'"), turns.where("role = 'assistant'")
+
+
+@query(_SIDES_SQL + " select u.conv_id, u.i, u.turn as asked, a.turn as answered from u join a using (conv_id, i)")
+def zip_positional(spark, sf_dir):
+    both = matching.zip_positional(*_sides(spark, sf_dir), ["conv_id"], "turn")
+    return both.select("conv_id", F.col("i").cast("long"), F.col("left.turn").alias("asked"), F.col("right.turn").alias("answered"))
+
+
+@query(_SIDES_SQL + " select coalesce(x.conv_id, y.conv_id) as conv_id, coalesce(x.n, 0) as n_left, coalesce(y.n, 0) as n_right from (select conv_id, count(*) as n from u group by 1) x full join (select conv_id, count(*) as n from a group by 1) y on x.conv_id = y.conv_id where coalesce(x.n, 0) <> coalesce(y.n, 0)")
+def zip_mismatches(spark, sf_dir):
+    return matching.zip_mismatches(*_sides(spark, sf_dir), ["conv_id"])
+
+
+@query("""select conv_id, turn, coalesce(lead(turn) over w, 1000) as "end", coalesce(lag(turn, 1, 0) over w, 0) as begin from conversations window w as (partition by conv_id order by turn)""")
+def lead_lag_segments(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(1000).cast("long").alias("stop"))
+    return draws.with_previous_end(draws.with_next_start(turns, ["conv_id"], "turn", "stop"), ["conv_id"], "turn", "turn").select("conv_id", "turn", "end", "begin")
+
+
+@query("""select conv_id, turn, cast(coalesce(sum(length(coalesce(text, '')) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from conversations""")
+def running_offset(spark, sf_dir):
+    return draws.with_offsets(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "offset")
+
+
+@query()
+def lcs_align(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").withColumn("n", F.length("text") % 7)
+    return matching.lcs_align(turns.where("turn % 2 = 0"), turns.where("turn % 2 = 1"), "conv_id", "turn", "n")
+
+
+@query("""
+    with old as (select lang, source, arg_max(sha256(text), doc_id) as hash from documents where doc_id % 2 = 0 and text is not null group by 1, 2)
+    select doc_id, d.lang, d.source from documents d join old using (lang, source) where doc_id % 2 = 1 and text is not null and sha256(text) <> hash and regexp_matches(text, '[^\\s]')""")
+def hash_join_residual(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "source", "text", text.content_hash(F.col("text")).alias("hash"))
+    return matching.latest_row_join(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), ["lang", "source"], "doc_id", value="text", changed="hash").select("doc_id", "lang", "source")
+
+
+@query("""
+    with r as (select *, row_number() over (partition by source order by doc_id desc) as n from documents)
+    select source, string_agg('- ' || substr(text, 1, 300), chr(10) order by doc_id desc) as block from r where n <= 8 group by 1""")
+def topk_newest_listagg(spark, sf_dir):
+    return catalog.newest_block(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"], "doc_id", "text")
+
+
+@query("""
+    with t as (select distinct p_type from part), r as (select p_type, row_number() over (order by p_type) - 1 as k, count(*) over () as n from t)
+    select i, p_type from range(40) g(i) join r on g.i % r.n = r.k""")
+def round_robin(spark, sf_dir):
+    return draws.round_robin(_read(spark, sf_dir, "part").select("p_type").distinct(), "p_type", 40).select(F.col("i").cast("long"), "p_type")
+
+
+_TYPES_SQL = "(select distinct p_type from part)"
+
+
+@query(f"select p_partkey, p_name from part where exists (select * from {_TYPES_SQL} t where contains(' ' || lower(p_name) || ' ', ' ' || lower(p_type) || ' ') or contains(' ' || lower(p_type) || ' ', ' ' || lower(p_name) || ' ')) or false")
+def fuzzy_semi(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part")
+    return matching.fuzzy_semi(parts.select("p_partkey", "p_name"), "p_name", parts.select("p_type").distinct(), "p_type").select("p_partkey", "p_name")
+
+
+@query(f"select p_partkey, p_name from part where not exists (select * from {_TYPES_SQL} t where contains(' ' || lower(p_name) || ' ', ' ' || lower(p_type) || ' ') or contains(' ' || lower(p_type) || ' ', ' ' || lower(p_name) || ' '))")
+def fuzzy_anti(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part")
+    return matching.fuzzy_anti(parts.select("p_partkey", "p_name"), "p_name", parts.select("p_type").distinct(), "p_type").select("p_partkey", "p_name")
+
+
+@query("""select n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) as folded, n_name as name from nation""")
+def name_canonical(spark, sf_dir):
+    nation = _read(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", text.fold(F.col("n_name")).alias("folded"), naming.subject_name(naming.exam_code(F.col("n_name"))).alias("name"))
+
+
+@query("""
+    select d.doc_id, case when toxic = 1 and quality = 0 then 'rejeitada' when quality = 0 then 'rejeitada' when toxic = 1 then 'rejeitada' else 'pendente_revisao' end as status,
+        case when toxic = 1 and quality = 0 then 'key' when quality = 0 then 'quotation' when toxic = 1 then 'key' end as reason from documents d join labels using (doc_id)""")
+def status_decision(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_read(spark, sf_dir, "labels"), "doc_id")
+    status, reason = generation.decide(F.lit(True), F.col("quality") == 1, F.col("toxic") == 0, F.lit(""))
+    return rows.select("doc_id", status.alias("status"), reason.alias("reason"))
+
+
+@query("""select doc_id, '' as found, regexp_matches(text, '(?i)observe a figura') as image from documents where text is not null""")
+def source_reference(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").where("text is not null")
+    none = F.lit(None)
+    found = text.source_reference(F.col("text"), none.cast("string"), none.cast("string"), none.cast("map<string,string>"), none.cast("string"), none.cast("string"))
+    return docs.select("doc_id", found.alias("found"), text.needs_image(F.col("text")).alias("image"))
+
+
+_ANSWERS = (("certo_errado", "Certo."), ("certo_errado", " errado"), ("certo_errado", "x"), ("abcde", "B"), ("abcde", "F"), ("abcde", "c) x."), (None, "A"))
+
+
+@query("select * from (values (0, 'CERTO'), (1, 'ERRADO'), (2, null), (3, 'B'), (4, null), (5, 'C'), (6, null)) t(i, answer)")
+def answer_normalise(spark, sf_dir):
+    rows = spark.createDataFrame([(i, f, a) for i, (f, a) in enumerate(_ANSWERS)], "i int, form string, raw string")
+    options = F.create_map(*[x for letter in "ABCDE" for x in (F.lit(letter), F.lit("t"))])
+    return rows.select("i", text.answer_key(F.col("form"), F.col("raw"), options).alias("answer"))
+
+
+@query("select * from (values (0, 'Q', 'abcde', 'A) x y\nB) z\nC) w'), (1, 'S ( ) no A) one B) two', null, null), (2, 'Stem', 'certo_errado', null)) t(i, stem, form, options)".replace("\n", "' || chr(10) || '"))
+def options_extract(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "Q\nA) x\n y\nB) q\nB) z\nC) w"), (1, "S ( ) no A) one B) two"), (2, "Stem ( ) Certo ( ) Errado")], "i int, block string")
+    read = text.stem_and_form(F.col("block"))
+    return rows.select("i", read["stem"].alias("stem"), read["form"].alias("form"), F.when(text.option_map(F.col("block")).isNotNull(), text.options_block(text.option_map(F.col("block")))).alias("options"))
+
+
+@query()
+def option_shuffle(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    options = F.create_map(F.lit("A"), "p_name", F.lit("B"), "p_type", F.lit("C"), "p_brand")
+    out = text.shuffle_options(options, F.lit("A"), F.col("p_partkey"), {"comment": F.lit("alternativa A e a letra b")})
+    return parts.select("p_partkey", out.alias("s")).select("p_partkey", F.to_json("s.options").alias("options"), "s.key", "s.comment")
+
+
+@query("""select event_id, cast(len(json_keys(props)) as bigint) as n_keys, array_to_string(list_sort(json_keys(props)), ',') as keys from events""")
+def json_map(spark, sf_dir):
+    parsed = F.map_keys(F.from_json("props", "map<string,string>"))
+    return _read(spark, sf_dir, "events").select("event_id", F.size(parsed).cast("long").alias("n_keys"), F.array_join(F.array_sort(parsed), ",").alias("keys"))
+
+
+@query()
+def toc_lines(spark, sf_dir):
+    return parsing.contents_lines(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""
+    with t as (select conv_id, turn, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as seg from conversations)
+    select conv_id, cast(seg - 1 as bigint) as ordem, cast(count(*) as bigint) as n from t where seg > 0 group by 1, 2""")
+def heading_islands(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("is_head"), F.lit("x").alias("text"))
+    return parsing.heading_segments(turns, "conv_id", "turn", "is_head", "text").select("conv_id", "ordem", F.size(F.split("trecho", "\n")).cast("long").alias("n"))
+
+
+@query("""
+    select source, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as failed, case when count(*) filter (where toxic = 1) > 0 then 'toxic' end as error
+    from documents join labels using (doc_id) group by 1""")
+def batch_report(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "source").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return catalog.file_report(rows.where("quality = 1"), rows.where("quality = 0"), rows.where("toxic = 1").select("source", F.lit("toxic").alias("error")), "source")
+
+
+@query("""
+    with r as (select source, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as failed, max(toxic) as t from documents join labels using (doc_id) group by 1)
+    select cast(sum(ok) as bigint) as ok, cast(sum(failed) as bigint) as failed, cast(count(*) filter (where t = 1) as bigint) as errors from r""")
+def batch_totals(spark, sf_dir):
+    return catalog.report_totals(batch_report(spark, sf_dir))
+
+
+@query("select c_mktsegment as segment, count(*) as n, string_agg(cast(c_custkey as varchar), ',' order by c_custkey) as items from customer group by 1")
+def grouped_lists(spark, sf_dir):
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey", F.col("c_custkey").cast("string").alias("name"))
+    return catalog.grouped_lists(customers, "segment", "c_custkey", "name").select("segment", "n", F.array_join("items", ",").alias("items"))
+
+
+@query("select count(*) filter (where o_orderstatus = 'P') as pending, count(*) filter (where o_orderstatus = 'O') as rejected, count(*) filter (where o_orderstatus = 'F') as ok from orders")
+def conditional_counts(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    return catalog.counts_if(_read(spark, sf_dir, "orders"), pending=s == "P", rejected=s == "O", ok=s == "F")
+
+
+@query("select doc_id, lang, source, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as text from documents where source in ('src1', 'src2', 'src3') and lower(lang) = 'en'")
+def truncated_listing(spark, sf_dir):
+    docs = catalog.where_given(_read(spark, sf_dir, "documents"), equal={"lang": ""}, same={"lang": "EN"}, among={"source": ["src1", "src2", "src3"]})
+    return catalog.listing(docs, ["lang", "source", "doc_id"], short={"text": 200}).select("doc_id", "lang", "source", "text")
+
+
+@query("select doc_id, lang, source, cast(length(coalesce(text, '')) as bigint) as size from documents")
+def length_projection(spark, sf_dir):
+    out = catalog.listing(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), ["lang", "source", "doc_id"], sizes={"text": "size"})
+    return out.withColumn("size", F.col("size").cast("long"))
+
+
+@query("select c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last_order from orders join customer on c_custkey = o_custkey group by 1")
+def last_in_group(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("last_order"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    known = orders.join(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "left_semi")
+    return draws.last_in_group(known, ["c_custkey"], "at").select("c_custkey", "last_order")
+
+
+@query("select p_brand, arg_min(p_partkey, (abs(p_size - 25), p_partkey)) as p_partkey from part group by 1")
+def nearest_in_group(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    return draws.nearest_in_group(parts, ["p_brand"], F.abs(F.col("p_size") - 25), "p_partkey").select("p_brand", "p_partkey")
+
+
+@query(f"with {_STOCK_SQL}, r as (select *, row_number() over (order by n_used, last_used asc nulls first, o_orderkey) as place from stock) select o_orderkey, last_used, place from r where place <= 100")
+def reuse_priority(spark, sf_dir):
+    first = draws.candidates(_stock(spark, sf_dir), "used", "o_orderkey").limit(100)
+    place = F.row_number().over(Window.orderBy(*draws.reuse_order("used", "o_orderkey")))
+    return first.select("o_orderkey", F.array_max("used").alias("last_used"), place.cast("long").alias("place"))
+
+
+@query("select o_orderkey, o_custkey from orders order by o_orderkey desc limit 8")
+def topk_newest(spark, sf_dir):
+    return draws.newest(_read(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query()
+def parse_mock_documents(spark, sf_dir):
+    """Conversations read as old mock exams: each answered turn is an item."""
+    turns = _read(spark, sf_dir, "conversations").where("text is not null")
+    part = F.when(F.col("role") == "user", F.concat(F.col("turn") + 1, F.lit(". "), F.regexp_replace("text", r"\s+", " "), F.lit(" ( ) Certo ( ) Errado\n"))).when(F.col("role") == "assistant", F.concat(F.lit("COMENTÁRIOS: "), F.regexp_replace("text", r"\s+", " "), F.lit("\nGABARITO: Certo\n"))).otherwise("")
+    docs = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "").alias("doc"))
+    return parsing.parse_documents(docs.select("conv_id", F.array("doc").alias("pages")), "old_mock", id_col="conv_id").select("conv_id", "place", "kind", "numero", "motivo", "enunciado", "gabarito", "comentario")

@@ -1,0 +1,99 @@
+from pyspark.sql import functions as F
+
+from contentmill.operators import parsing
+
+BOOK = """Capa
+Sumário
+DOS CRIMES .......... 3
+PENAS ..... 9
+DOS CRIMES
+QUESTÃO 01 (BOARD/2020)
+Stem one
+goes on ( ) Certo ( ) Errado
+QUESTÃO 0 2 - Stem two
+A) x
+more
+B) y
+C) z
+PENAS
+QUESTÃO 3: no form here
+QUESTÃO 4 Stem four ( ) Certo
+COMENTÁRIOS
+QUESTÃO 01
+COMENTÁRIO: because one
+Gabarito: Certo.
+QUESTÃO 02
+COMENTÁRIO:
+because two
+GABARITO: B
+"""
+
+
+def test_question_book():
+    rows, failures = parsing.parse_question_book(BOOK)
+    assert [(r["tema"], r["formato"], r["banca_ano"], r["enunciado"], r["gabarito"], r["comentario"]) for r in rows] == [
+        ("DOS CRIMES", "certo_errado", "BOARD/2020", "Stem one goes on", "CERTO", "because one"),
+        ("DOS CRIMES", "abcde", None, "Stem two", "B", "because two"),
+    ]
+    assert rows[1]["alternativas"]["A"] == "x more"
+    assert failures[0] == {"numero": 3, "motivo": "unknown format"} and failures[1] == {"numero": 4, "motivo": "no comment of this number"}
+
+
+def test_restarting_numbers_keep_their_sections():
+    q = "".join(f"QUESTÃO {n} s{i} ( ) Certo\n" for i, n in enumerate((1, 2, 3, 1, 2, 3)))
+    c = "".join(f"QUESTÃO {n}\nCOMENTÁRIO: c{i}\nGABARITO: C\n" for i, n in enumerate((1, 3, 1, 2, 3)))
+    rows, failures = parsing.parse_question_book(f"x\n{q}\nCOMENTÁRIOS\n{c}")
+    assert [r["comentario"] for r in rows] == ["c0", "c1", "c2", "c3", "c4"] and [f["numero"] for f in failures] == [2]
+
+
+MOCK = """DIREITO PENAL
+
+Leia o texto para as questões de 1 a 2: Era uma vez.
+01. Stem A
+(A) x
+(B) y
+(C) z
+COMENTÁRIOS: why A
+GABARITO: B
+02. Stem B ( ) Certo ( ) Errado
+COMENTÁRIOS: why B
+GABARITO: Errado
+LÍNGUA-
+INGLESA
+03. nothing
+COMENTÁRIOS: c
+GABARITO: A
+"""
+
+
+def test_old_mock():
+    rows, failures = parsing.parse_old_mock(MOCK)
+    assert [(r["materia"], r["enunciado"], r["gabarito"], r["texto_auxiliar"]) for r in rows] == [("DIREITO PENAL", "Stem A", "B", "Era uma vez."), ("DIREITO PENAL", "Stem B", "ERRADO", "Era uma vez.")]
+    assert failures == [{"numero": 3, "motivo": "unknown format"}]
+    assert parsing.mock_headings(MOCK)[-1][1] == "LÍNGUA-INGLESA"
+    assert [n for _, n in parsing.mock_headings("AAAA\n\nBBBB\n")] == ["AAAA BBBB"]
+    assert parsing.parse_old_mock("01. a ( ) Certo\nCOMENTÁRIO: x\nCOMENTÁRIO: y\nGABARITO: C\n")[1][0]["motivo"] == "2 comments, 1 answers"
+
+
+def test_books():
+    pages = ["capa", "CONCURSOS\nDIREITO PENAL\nCONCURSOS", "Sumário\nDos Crimes ..... 1\nDas Penas .... 2", "CONCURSOS\n1\nDIREITO PENAL\nDOS CRIMES\ntexto sobre das penas.", "CONCURSOS\n2\nDas Penas\nmais texto"]
+    rows = parsing.parse_combined_book(pages)
+    assert [(r["materia"], r["tema"], r["ordem"], r["pagina"]) for r in rows] == [("DIREITO PENAL", "Dos Crimes", 0, 1), ("DIREITO PENAL", "Das Penas", 1, 2)]
+    assert rows[1]["trecho"].startswith("Das Penas") and rows[0]["trecho"].endswith("das penas.")
+    single = parsing.parse_single_book(["Sumário\nDecreto Um\nDecreto Dois", "Decreto Um\na", "Decreto Dois\nb"], "Leis")
+    assert [(r["tema"], r["trecho"]) for r in single] == [("Decreto Um", "Decreto Um\na"), ("Decreto Dois", "Decreto Dois\nb")]
+    assert parsing.FoldedText("aaaa").places("aa") == [0, 1, 2]
+
+
+def test_documents_become_rows_failures_and_errors(spark):
+    docs = spark.createDataFrame([(1, [BOOK]), (2, ["nothing"]), (3, None)], "doc_id long, pages array<string>")
+    out = parsing.parse_documents(docs, "question_book")
+    assert sorted((r.doc_id, r.kind, r["count"]) for r in out.groupBy("doc_id", "kind").count().collect()) == [(1, "failure", 2), (1, "row", 2), (2, "error", 1), (3, "error", 1)]
+
+
+def test_lines_and_headings(spark):
+    docs = spark.createDataFrame([(1, "x\nOne ... 4\n .. 5\nTwo..7")], "d int, t string")
+    assert [tuple(r) for r in parsing.contents_lines(docs, "d", "t").orderBy("place").collect()] == [(1, 1, "One", 4), (1, 3, "Two", 7)]
+    p = spark.createDataFrame([(1, 0, "Normal", "drop"), (1, 1, "Heading 1", "H"), (1, 2, "Normal", "a"), (1, 3, "Heading 1", "I")], "d int, idx int, style string, t string")
+    out = parsing.passage_rows(parsing.heading_segments(p.withColumn("h", F.col("style") == "Heading 1"), "d", "idx", "h", "t"))
+    assert [(r.ordem, r.tema, r.trecho, r.pagina) for r in out.orderBy("ordem").collect()] == [(0, "H", "H\na", None), (1, "I", "I", None)]
