@@ -22,7 +22,7 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
 }
 #: Words by which candidate passages are found, in order of preference.
-PREFERRED = ("licens", "permission", "redistribution", "cc0", "public domain", "copyright")
+PREFERRED = ("licens", "cc", "cc0", "gnu", "mit", "permission", "redistribution", "mozilla", "creative", "domain")
 DICE_LEAST = 0.8
 
 
@@ -30,24 +30,25 @@ def _plain(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def _bigrams(text: str) -> list[str]:
+def bigram_list(text: str) -> list[str]:
     words = _plain(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
 def anchors(templates: dict[str, tuple[str, ...]], dice: float) -> list[str]:
-    """Strings of which every passage that reaches ``dice`` with some template holds one.
+    """Word beginnings of which every passage that reaches ``dice`` with some template has one.
 
     A passage needs at least dice / (2 - dice) of a template's bigrams. Words are added
     until each template has fewer bigrams without an anchor than that.
     """
     chosen: list[str] = []
     for text in (t for texts in templates.values() for t in texts):
-        grams = _bigrams(text)
+        grams = bigram_list(text)
         need = dice / (2 - dice) * len(grams)
-        spare = sorted(_plain(text), key=lambda w: (-len(w), w))
-        for word in [p for p in PREFERRED if p in " ".join(_plain(text)) and " " not in p] + spare:
-            if sum(not any(a in g for a in chosen) for g in grams) < need:
+        own = _plain(text)
+        spare = sorted((w for w in own if len(w) > 3), key=lambda w: (-len(w), w)) + sorted(own)
+        for word in [p for p in PREFERRED if any(w.startswith(p) for w in own)] + spare:
+            if sum(not any(f" {g}".find(f" {a}") >= 0 for a in chosen) for g in grams) < need:
                 break
             if word not in chosen:
                 chosen.append(word)
@@ -77,9 +78,8 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, tuple[str, ...]] = TE
     other columns are ignored; an empty table gives an empty result.
     """
     words = anchors(templates, dice)
-    pattern = "(?i)" + "|".join(map(re.escape, words))
-    gate = f"(?=[{''.join(sorted({w[0] for w in words} | {w[0].upper() for w in words}))}])(?:{pattern})"
-    table = [(name, _bigrams(t)) for name, texts in templates.items() for t in texts]
+    gate = f"(?i)(?<![a-z0-9])(?:{'|'.join(words)})"
+    table = [(name, bigram_list(t)) for name, texts in templates.items() for t in texts]
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in table])
     least, most = dice / (2 - dice), (2 - dice) / dice
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from contentmill.llm.decontaminate import contaminated
 from contentmill.llm.embedding_dedup import embedding_near_dedup
 from contentmill.llm.html_text import extract_text
-from contentmill.llm.licenses import scan_licenses
+from contentmill.llm.licenses import TEMPLATES, bigram_list, scan_licenses
 from contentmill.llm.mixing import mix_sources
 from contentmill.llm.ngram_join import ngram_jaccard_join
 from contentmill.llm.pii import find_pii, pii_digest
@@ -80,4 +80,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_REACHED = """
+    reached(id, other) as (select a, b from links union all select b, a from links union select r.id, l.b from reached r join (select a, b from links union all select b, a from links) l on r.other = l.a),
+    classes as (select id, least(id, min(other)) as component_id from reached group by id)"""
+
+_TEMPLATE_ROWS = ", ".join(f"('{name}', {bigram_list(t)!r})" for name, texts in TEMPLATES.items() for t in texts)
+
+ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": f"""
+    with recursive good as (
+        select vec_id, label, cast(embedding as double[]) as v from embeddings where label is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
+    {_REACHED}
+    select vec_id, (select count(*) from links where a = vec_id or b = vec_id) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+    from embeddings left join classes on id = vec_id""",
+    "op5_license_scans": f"""
+    with known(license, grams) as (values {_TEMPLATE_ROWS}),
+    lines as (select doc_id, text, unnest(string_split_regex(text, '[\\r\\n]+')) as line from documents where text is not null),
+    pieces as (
+        select doc_id, text as piece from documents where text is not null union select doc_id, line from lines
+        union select doc_id, unnest(string_split_regex(regexp_replace(line, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) from lines),
+    plain as (select distinct doc_id, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) as passage from pieces),
+    worded as (select doc_id, passage, string_split(passage, ' ') as w from plain),
+    sets as (select doc_id, passage, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as grams from worded where len(w) > 1),
+    scored as (select doc_id, passage, license, 2.0 * len(list_intersect(s.grams, k.grams)) / (len(s.grams) + len(k.grams)) as dice from sets s, known k),
+    best as (select doc_id, passage, license, dice, row_number() over (partition by doc_id, passage order by dice desc, license) as n from scored where dice >= 0.8 - 1e-12)
+    select doc_id, license, round(max(dice), 9) as dice, count(*) as n_passages from best where n = 1 group by 1, 2""",
+    "op7_ngram_jaccard_join": f"""
+    with recursive worded as (select doc_id, {_WORDS} as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as grams from worded),
+    cells as (select doc_id, len(grams) as n, unnest(grams) as gram from sets),
+    pairs as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as shared from cells a join cells b on a.gram = b.gram and a.doc_id < b.doc_id and 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) group by 1, 2, 3, 4),
+    links as (select a, b from pairs where 100 * shared >= 90 * (n + m - shared)),
+    {_REACHED}
+    select doc_id, cast(len(grams) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id from sets left join classes on id = doc_id""",
+}
