@@ -28,6 +28,7 @@ AROUND = re.compile(
 AROUND_TAGS = frozenset("nav footer aside header menu dialog search".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 ARTICLE_TAGS = frozenset("article main".split())
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<(?:!--(?:(?:-?>)|(.*?)(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -59,13 +60,14 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     stack = [_Element("", False, False, False, False)]
     parts: list[str] = []
     linked: list[str] = []
-    state = {"heading": False}
 
     def flush():
+        if not parts:
+            return
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
             top = stack[-1]
-            out.append((text, len(text.split()), len(" ".join(linked).split()), top.around, top.article, state["heading"] or top.tag in _HEADINGS))
+            out.append((text, len(text.split()), len(" ".join(linked).split()), top.around, top.article, top.tag in HEADING_TAGS))
         parts.clear()
         linked.clear()
 
@@ -132,9 +134,6 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     return out
 
 
-_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-
-
 def block_features(blocks: list[tuple]) -> np.ndarray:
     """One row of ``FIELDS`` for each block: its own figures and its neighbours'."""
     n = len(blocks)
