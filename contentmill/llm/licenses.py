@@ -22,7 +22,7 @@ TEMPLATES = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
 }
 #: Words by which candidate passages are found, in order of preference.
-PREFERRED = ("licens", "cc", "cc0", "gnu", "mit", "permission", "redistribution", "mozilla", "creative", "domain")
+PREFERRED = ("licens", "cc", "cc0", "gnu", "permission", "redistribution", "mozilla", "creative", "domain")
 DICE_LEAST = 0.8
 
 
@@ -92,6 +92,7 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, tuple[str, ...]] = TE
         sized = (F.size("grams") >= least * F.size(t["grams"]) - 1e-9) & (F.size("grams") <= most * F.size(t["grams"]) + 1e-9)
         return F.struct(F.when(sized, 2.0 * F.size(F.array_intersect("grams", t["grams"])) / (F.size("grams") + F.size(t["grams"]))).otherwise(0.0).alias("dice"), t["name"].alias("license"))
 
-    order = F.array_sort(F.transform(known, near), lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))
-    best = sets.withColumn("best", order[0]).where(F.col("best.dice") >= dice - 1e-12)
-    return best.select("id", "passage", "best.*").distinct().groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_passages")).select(F.col("id").alias(id_col), "license", F.round("dice", 9).alias("dice"), "n_passages")
+    # Exploding what reaches the bound keeps each comparison to one evaluation.
+    close = sets.select("id", "passage", F.explode(F.filter(F.transform(known, near), lambda m: m["dice"] >= dice - 1e-12)).alias("m"))
+    best = close.groupBy("id", "passage").agg(F.min(F.struct((-F.col("m.dice")).alias("less"), F.col("m.license").alias("license"))).alias("b"))
+    return best.groupBy("id", "b.license").agg(F.max(-F.col("b.less")).alias("dice"), F.count("*").alias("n_passages")).select(F.col("id").alias(id_col), "license", F.round("dice", 9).alias("dice"), "n_passages")
