@@ -136,9 +136,11 @@ def _verify(span: int, agreeing: float):
                 lo = start[i].as_py() - shift[i].as_py()  # item place of the first word of x
                 a, b = max(0, lo), min(len(y), lo + len(x))
                 size = min(len(y), span)
-                if b - a < size:
-                    continue
-                same = np.concatenate([[0], np.cumsum(x[a - lo : b - lo] == y[a:b])])
+                # Item words beyond the document's edge disagree.
+                first, last = max(0, a - size), min(len(y), b + size)
+                equal = np.zeros(last - first, dtype=np.int64)
+                equal[a - first : b - first] = x[a - lo : b - lo] == y[a:b]
+                same = np.concatenate([[0], np.cumsum(equal)])
                 most = int((same[size:] - same[:-size]).max())
                 if most >= max(min(size, 5), agreeing * size):
                     keep.append(i)
@@ -156,7 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     of fixed size; what passes is joined with the items' seeds by hash. A pair counts if
     on the line of a hit, in some ``span`` consecutive words of the item (all of them, if
     it has fewer), at least ``agreeing`` of the words are equal, so substitutions are
-    tolerated; case and ASCII punctuation don't count. One row for each pair: the ids,
+    tolerated; item words beyond the document's start or end count as unequal; case and
+    ASCII punctuation don't count. One row for each pair: the ids,
     ``agreeing`` and ``compared`` words at the best place.
 
     Null and empty texts, rows with a null id, and items of fewer than five words match

@@ -216,6 +216,16 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contaminated(table(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_at_the_edges_of_documents(spark):
+    item = [f"item{i}" for i in range(59)]
+    fill = [f"other{i}" for i in range(40)]
+    docs = [fill + item[:18], item[-19:] + fill, item[20:38], fill + item[:16], fill + item[:15], item[30:45] + fill, fill + item[:18] + fill, item[2:14], item[:12]]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(item[:15]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.agreeing, r.compared) for r in decontaminate.contaminated(table(spark, [" ".join(d) for d in docs]), bench).collect()}
+    assert {g for g in got if g[1] == 0} == {(0, 0, 18, 20), (1, 0, 19, 20), (2, 0, 18, 20), (3, 0, 16, 20), (6, 0, 18, 20)}
+    assert {g for g in got if g[1] == 1} == {(0, 1, 15, 15), (3, 1, 15, 15), (4, 1, 15, 15), (6, 1, 15, 15), (7, 1, 12, 15), (8, 1, 12, 15)}
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     data = [(i, "w " * rng.randrange(0, 40), "big" if i % 3 else rng.choice(["s1", "s2", None]), 7) for i in range(900)] + [(1000, None, "void", 7)]
