@@ -11,7 +11,8 @@ from contentmill.llm.workspace import Workspace
 RULES_IN_PLACE = 256
 #: Levels of the tree; what lies deeper is one segment.
 DEPTH = 8
-#: A level whose different segments are at least so many, and this share of its rows, varies.
+#: A level whose different segments are at least so many, and this share of the different
+#: shapes below it, varies. Copies and the number of rows don't count.
 VARIETY_LEAST, VARIETY_SHARE = 8, 0.3
 #: Two branches are alike if both have so many labels and their shares differ by no more
 #: than this many standard errors.
@@ -64,7 +65,7 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame)
 
 
 def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
-    """``host``, ``shape`` and ``template`` of every key (host, shape, n, bad, good).
+    """``host``, ``shape`` and ``template`` of every key (host, shape, bad, good).
 
     Level by level, each branch's segments are counted over the host's keys. A varying
     level becomes a wildcard; so do branches whose labels don't tell them from their
@@ -76,15 +77,17 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
     for level in range(deepest):
         segment = F.coalesce(F.get("shape", F.lit(level)), F.lit(""))
         at = state.withColumn("segment", segment)
-        values = at.groupBy(*branch, "segment").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        values = at.groupBy(*branch, "segment").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         whole = values.where("segment <> ''").groupBy(*branch).agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
         v = values.join(whole, branch)
         mine, rest = F.expr("bad + good"), F.expr("all_bad + all_good - bad - good")
         pooled = F.expr("(all_bad + 1) / (all_bad + all_good + 2)")
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
-        alike = (mine >= MERGE_LABELS) & (rest >= MERGE_LABELS) & (F.abs(F.col("bad") / F.greatest(mine, F.lit(1)) - F.expr("all_bad - bad") / F.greatest(rest, F.lit(1))) <= MERGE_ERRORS * error)
+        told = (mine >= MERGE_LABELS) & (rest >= MERGE_LABELS)
+        close = F.abs(F.col("bad") / F.greatest(mine, F.lit(1)) - F.expr("all_bad - bad") / F.greatest(rest, F.lit(1))) <= MERGE_ERRORS * error
         varies = (F.col("kinds") >= VARIETY_LEAST) & (F.col("kinds") >= VARIETY_SHARE * F.col("all_n"))
-        name = F.when(F.col("segment") == "", "").when(varies | alike, "/*").otherwise(F.concat(F.lit("/"), "segment"))
+        # A branch whose labels tell it from its siblings keeps its name on a varying level too.
+        name = F.when(F.col("segment") == "", "").when(F.when(told, close).otherwise(varies), "/*").otherwise(F.concat(F.lit("/"), "segment"))
         named = v.select(*branch, "segment", name.alias("name"))
         grown = at.join(named, [*branch, "segment"], "left").withColumn("template", F.concat("template", F.coalesce("name", F.lit(""))))
         state = ws.table(grown.select(*state.columns), f"tree-{level + 1}")
@@ -114,7 +117,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
         rows = rows.withColumn("told", F.lit(None).cast("string"))
     rows = ws.table(rows.withColumn("shape", shape_of(F.col("path"))), "ruled")
     label = F.coalesce("ruled", "told")
-    keys = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count_if(label == "block").alias("bad"), F.count_if(label == "allow").alias("good"))
+    keys = rows.groupBy("host", "shape").agg(F.count_if(label == "block").alias("bad"), F.count_if(label == "allow").alias("good"))
     templates = ws.table(path_templates(ws, ws.table(keys, "keys")), "templates")
     impurity = (F.sum("bad") + PRIOR_WEIGHT * PRIOR_SHARE) / (F.sum("bad") + F.sum("good") + PRIOR_WEIGHT)
     judged = templates.groupBy("host", "template").agg(impurity.alias("impurity"))

@@ -165,6 +165,26 @@ def test_url_templates(spark):
     assert got[40].template == "/news/*" and got[40].verdict == "allow" and got[42].template == "/about"
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_url_templates_do_not_follow_copies_or_volume(spark, copies):
+    slugs = [f"http://a.com/slug-{w}" for w in "abcdefghi"]
+    # Of one shape each, however many pages there are.
+    deep = [f"http://b.com/{w}/{i}" for w in ("en", *"abcdefghi") for i in range(8)]
+    urls = (slugs + ["http://a.com/en/"] * 3 + deep) * copies
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.host, r.path): (r.template, r.verdict) for r in url_filter.filter_urls(pages, URL_RULES).collect()}
+    assert all(got["a.com", f"/slug-{w}"] == ("/*", "block") for w in "abcdefghi")
+    assert all(got["b.com", f"/{w}/{i}"] == ("/*/*", "block") for w in "abcdefghi" for i in range(8))
+
+
+def test_url_sections_that_labels_tell_apart_stay(spark):
+    urls = [f"http://a.org/{w}/{i}" for w in "abcdefghij" for i in range(8)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if u.startswith("http://a.org/a/") else "allow") for i, u in enumerate(urls) if i % 8 < 6], "page_id long, verdict string")
+    got = {r.path: (r.template, r.verdict) for r in url_filter.filter_urls(pages, [], labels).collect()}
+    assert got["/a/7"] == ("/a/*", "block") and got["/b/7"] == ("/*/*", "allow")
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
