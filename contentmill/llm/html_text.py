@@ -16,14 +16,20 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td template "
     "textarea tfoot th thead title tr ul".split()
 )
-HIDDEN_TAGS = frozenset("head title script style noscript template textarea select option button svg math iframe object canvas audio video form".split())
+HIDDEN_TAGS = frozenset("head title script style noscript template textarea select option button svg math iframe object canvas audio video".split())
+#: An element around so much of the unlinked words of a page without articles is its frame.
+FRAME_SHARE = 0.75
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag of these ends an open paragraph.
 ENDS_PARAGRAPH = BLOCK_TAGS - frozenset("br button caption html head body option optgroup select textarea title td th tr tbody thead tfoot legend summary template".split())
-# Words in names of elements that hold no article text.
+# Words in names of elements that hold no article text, and words that say
+# nothing about it. A class or id counts if all its words are of these, one of the first.
 AROUND = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|disqus|footer|header-?nav|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget\w*)(?:$|[^a-z])"
+    r"ads?|advert\w*|banners?|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|disqus|footer|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?"
+)
+PLAIN = re.compile(
+    r"[0-9]*|area|articles|aside|bar|block|body|bottom|box|buttons?|col|column|container|div|entry|first|form|global|group|header|holder|icons?|inner|inline|item|items|js|last|left|links?|list|lg|main|md|media|mobile|outer|overlay|page|panel|post|posts|primary|respond|right|row|secondary|section|side|signup|site|slot|sm|sticky|stories|text|thread|title|top|unit|wp|wrap|wrapper|xs|zone"
 )
 AROUND_TAGS = frozenset("nav footer aside header menu dialog search".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
@@ -34,14 +40,70 @@ _TAG = re.compile(r"<(?:!--(?:(?:-?>)|(.*?)(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACE = re.compile(r"\s+")
 
+#: A form around a whole page holds a paragraph, a heading or a block of so many unlinked words.
+PROSE_WORDS = 10
+
 FIELDS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "around", "article", "has_article", "heading")
 
 
+class _Mark:
+    """An element that may hold no article text, or (``article``) that is an article or main.
+
+    ``words`` are its unlinked words, those of inner elements too.
+    """
+
+    __slots__ = ("around", "article", "form", "frame", "main", "outer", "prose", "words")
+
+    def __init__(self, outer, around, form, article, main):
+        self.outer, self.around, self.form, self.article, self.main = outer, around, form, article, main
+        self.words, self.prose, self.frame = 0, False, False
+
+
 class _Element:
-    __slots__ = ("article", "around", "hidden", "link", "tag")
+    __slots__ = ("article", "hidden", "link", "mark", "tag")
 
-    def __init__(self, tag, around, hidden, link, article):
-        self.tag, self.around, self.hidden, self.link, self.article = tag, around, hidden, link, article
+    def __init__(self, tag, mark, hidden, link, article):
+        self.tag, self.mark, self.hidden, self.link, self.article = tag, mark, hidden, link, article
+
+
+def _named_around(names: str) -> bool:
+    for name in names.split():
+        words = name.split("-")
+        if any(AROUND.fullmatch(w) for w in words) and all(AROUND.fullmatch(w) or PLAIN.fullmatch(w) for w in words):
+            return True
+    return False
+
+
+def _find_frames(marks: list[_Mark], blocks: list[tuple]) -> None:
+    """Finds what holds a main, the longest article or, without either, most of the page.
+
+    After that ``form`` and ``around`` hold for a mark or one outside it that is no frame.
+    """
+    total = 0
+    for block in blocks:
+        free = block[1] - block[2]
+        total += free
+        if (mark := block[3]) is not None:
+            mark.words += free
+            mark.prose = mark.prose or block[5] or block[6] or free >= PROSE_WORDS
+    for mark in reversed(marks):  # outer marks come before inner ones
+        if mark.outer is not None:
+            mark.outer.words += mark.words
+            mark.outer.prose = mark.outer.prose or mark.prose
+    inner = [m for m in marks if m.main and m.words]
+    articles = [m for m in marks if m.article and not m.main and m.words]
+    if not inner and articles:
+        inner = [max(articles, key=lambda m: m.words)]
+    for mark in inner:
+        mark.frame = True
+    for mark in reversed(marks):
+        if mark.frame and mark.outer is not None:
+            mark.outer.frame = True
+    for mark in marks:
+        if not inner:
+            mark.frame = mark.words > FRAME_SHARE * total and (mark.prose or not mark.form)
+        mark.form = mark.form and not mark.frame or mark.outer is not None and mark.outer.form
+        mark.around = mark.around and not mark.frame or mark.outer is not None and mark.outer.around
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -54,10 +116,13 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     Text is split at block-level tags; white space becomes one space; character
     references are decoded; comments, scripts, styles, forms and other parts that show no
     prose are left out. Elements that are never closed end with the page; an unmatched
-    end tag does nothing.
+    end tag does nothing. An element that holds a main, the longest article or, without
+    either, most of the page's unlinked words is its frame: neither its name nor its being
+    a form says anything about the text in it.
     """
     out = []
-    stack = [_Element("", False, False, False, False)]
+    marks: list[_Mark] = []
+    stack = [_Element("", None, False, False, False)]
     parts: list[str] = []
     linked: list[str] = []
 
@@ -67,7 +132,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
             top = stack[-1]
-            out.append((text, len(text.split()), len(" ".join(linked).split()), top.around, top.article, top.tag in HEADING_TAGS))
+            out.append((text, len(text.split()), len(" ".join(linked).split()), top.mark, top.article, top.tag in HEADING_TAGS, any(e.tag == "p" for e in stack[-3:])))
         parts.clear()
         linked.clear()
 
@@ -119,9 +184,13 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         attributes = _attributes(m[4]) if m[4].strip() else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().replace("_", "-")
         top = stack[-1]
-        around = top.around or tag in AROUND_TAGS and not (tag == "header" and top.article) or attributes.get("role", "").lower() in AROUND_ROLES or bool(AROUND.search(names))
+        around = tag in AROUND_TAGS and not (tag == "header" and top.article) or attributes.get("role", "").lower() in AROUND_ROLES or _named_around(names)
+        mark = top.mark
         if tag in ("html", "body"):
-            around = False
+            mark = None
+        elif not top.hidden and (around or tag == "form" or tag in ARTICLE_TAGS):
+            mark = _Mark(mark, around, tag == "form", tag in ARTICLE_TAGS, tag == "main")
+            marks.append(mark)
         hidden = top.hidden or tag in HIDDEN_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -129,9 +198,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         if m[4].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append(_Element(tag, around, hidden, top.link or tag == "a", top.article or tag in ARTICLE_TAGS))
+        stack.append(_Element(tag, mark, hidden, top.link or tag == "a", top.article or tag in ARTICLE_TAGS))
     flush()
-    return out
+    _find_frames(marks, out)
+    return [(*b[:3], b[3] is not None and b[3].around, *b[4:6]) for b in out if b[3] is None or not b[3].form]
 
 
 def block_features(blocks: list[tuple]) -> np.ndarray:

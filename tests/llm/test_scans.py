@@ -126,6 +126,24 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+STORY = "<h1>A title of the day</h1><p>One paragraph of the story has some words in it, and more.</p><p>Another one follows here and it ends the story of today.</p>"
+STORY_TEXT = "A title of the day\nOne paragraph of the story has some words in it, and more.\nAnother one follows here and it ends the story of today."
+
+
+@pytest.mark.parametrize("opening", ["<div class='content-sidebar-wrap'>", "<div class='layout has-sidebar'>", "<div class='row no-sidebar'>", "<div class='post comments-open'>", "<div class='elementor-widget-theme-post-content'>", "<form id=aspnetForm><input type=hidden>", "<form role=form><main>", "<div class=widget><main>", "<div class=sidebar><article>", "<div class=widget>", "<article class='post comments'>"])
+def test_html_wrappers_keep_the_article(opening):
+    tree = html_text.train_tree()
+    assert html_text.main_text(f"<body><ul class=menu><li><a href=/>Home</a></ul>{opening}{STORY}", tree) == STORY_TEXT
+
+
+def test_html_elements_around_the_article_stay_out():
+    tree = html_text.train_tree()
+    talk = "<p>A reader says a few things about this story here.</p>"
+    page = f"<body><form><p>Search this site for words of any kind and more</p></form><div class='site-sidebar'>{talk}</div><main><article>{STORY}</article><section id=comments><article class='comment-body'>{talk}</article></section></main><div class='footer-widgets'>{talk}</div>"
+    assert html_text.main_text(page, tree) == STORY_TEXT
+    assert html_text.main_text(f"<body><article>{STORY}</article><ol class='comment-list'><li><article>{talk}</article></ol>", tree) == STORY_TEXT
+
+
 def test_html_of_the_tables(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     tree = html_text.train_tree()
