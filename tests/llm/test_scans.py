@@ -101,6 +101,25 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table(spark, texts).limit(0)).count() == 0
 
 
+def test_license_windows_run_over_lines_and_sentences(spark):
+    fill = "plain prose about a river\nand the town on its banks. "
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    mit, gpl3 = licenses.NOTICES["MIT"], licenses.full_texts()["GPL-3.0"][0]
+    texts = [mit[0], wrap(mit[0]), fill + wrap(mit[1]) + fill, fill + wrap(licenses.TEMPLATES["BSD-3-Clause"][1]), fill + licenses.NOTICES["GPL-3.0"][0], "This article is licensed under CC BY 4.0.", "The code of this project is released under the MIT License.", fill * 20 + wrap(gpl3) + fill, fill * 30, "Released under the\nMIT License. " + fill * 3 + "It is licensed under\nCC BY-NC 4.0.", f"{fill}This work is licensed under the GNU General Public\nLicense, version 2.\n{fill}"]
+    got = {}
+    for r in licenses.scan_licenses(table(spark, texts)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.dice
+    assert {i: set(x) for i, x in got.items()} == {0: {"MIT"}, 1: {"MIT"}, 2: {"MIT"}, 3: {"BSD-3-Clause"}, 4: {"GPL-3.0"}, 5: {"CC-BY-4.0"}, 6: {"MIT"}, 7: {"GPL-3.0"}, 9: {"MIT", "CC-BY-NC-4.0"}, 10: {"GPL-2.0"}}
+    assert all(d == 1.0 for x in got.values() for d in x.values())
+
+
+def test_license_window_anchors_lose_nothing():
+    texts = [t for table in (licenses.TEMPLATES, licenses.NOTICES, licenses.full_texts()) for ts in table.values() for t in ts]
+    words = licenses.window_anchors(texts, 0.8)
+    for grams in map(licenses.bigram_list, texts):
+        assert sum(not any(f" {w}" in f" {g}" for w in words) for g in grams) < 0.8 / 1.2 * len(grams)
+
+
 def test_licence_anchors_lose_nothing():
     words = licenses.anchors(licenses.TEMPLATES, 0.8)
     for text in (t for ts in licenses.TEMPLATES.values() for t in ts):
