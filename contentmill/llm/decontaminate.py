@@ -11,7 +11,7 @@ from contentmill.llm.hashing import blocks, mix
 from contentmill.llm.workspace import Workspace
 
 #: Seeds read the words at 1 and ignore those at 0.
-MASKS = ("11111", "111011", "110111", "1101101", "1011011", "11010011")
+MASKS = ("11111", "111011", "110111", "1101101", "1011011", "11010011", "101111", "111101")
 #: A hit counts if, of so many aligned words of the item (all, if it has fewer), this share agrees.
 SPAN, AGREEING = 20, 0.8
 #: Words kept on either side of hits for verifying.

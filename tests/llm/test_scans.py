@@ -283,6 +283,13 @@ def test_decontamination_at_the_edges_of_documents(spark):
     assert {g for g in got if g[1] == 1} == {(0, 1, 15, 15), (3, 1, 15, 15), (4, 1, 15, 15), (6, 1, 15, 15), (7, 1, 12, 15), (8, 1, 12, 15)}
 
 
+def test_decontamination_finds_any_substitution_in_six_words(spark):
+    item = [f"item{i}" for i in range(6)]
+    texts = [" ".join(["before", *item[:i], "other", *item[i + 1 :], "after"]) for i in range(6)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(table(spark, texts), bench).collect()} == set(range(6))
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     data = [(i, "w " * rng.randrange(0, 40), "big" if i % 3 else rng.choice(["s1", "s2", None]), 7) for i in range(900)] + [(1000, None, "void", 7)]
