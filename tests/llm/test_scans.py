@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -149,7 +150,10 @@ STORY = "<h1>A title of the day</h1><p>One paragraph of the story has some words
 STORY_TEXT = "A title of the day\nOne paragraph of the story has some words in it, and more.\nAnother one follows here and it ends the story of today."
 
 
-@pytest.mark.parametrize("opening", ["<div class='content-sidebar-wrap'>", "<div class='layout has-sidebar'>", "<div class='row no-sidebar'>", "<div class='post comments-open'>", "<div class='elementor-widget-theme-post-content'>", "<form id=aspnetForm><input type=hidden>", "<form role=form><main>", "<div class=widget><main>", "<div class=sidebar><article>", "<div class=widget>", "<article class='post comments'>"])
+WRAPPERS = ["<div class='content-sidebar-wrap'>", "<div class='layout has-sidebar'>", "<div class='post comments-open'>", "<form id=aspnetForm><input type=hidden>", "<form role=form><main>", "<div class=widget><main>", "<div class=sidebar><article>", "<div class=advert>", "<article class='post comments related'>", "<section>", ""]
+
+
+@pytest.mark.parametrize("opening", WRAPPERS)
 def test_html_wrappers_keep_the_article(opening):
     tree = html_text.train_tree()
     assert html_text.main_text(f"<body><ul class=menu><li><a href=/>Home</a></ul>{opening}{STORY}", tree) == STORY_TEXT
@@ -158,18 +162,59 @@ def test_html_wrappers_keep_the_article(opening):
 def test_html_elements_around_the_article_stay_out():
     tree = html_text.train_tree()
     talk = "<p>A reader says a few things about this story here.</p>"
-    page = f"<body><form><p>Search this site for words of any kind and more</p></form><div class='site-sidebar'>{talk}</div><main><article>{STORY}</article><section id=comments><article class='comment-body'>{talk}</article></section></main><div class='footer-widgets'>{talk}</div>"
-    assert html_text.main_text(page, tree) == STORY_TEXT
-    assert html_text.main_text(f"<body><article>{STORY}</article><ol class='comment-list'><li><article>{talk}</article></ol>", tree) == STORY_TEXT
-
-
-def test_html_of_the_tables(spark, small):
-    pages = spark.read.parquet(f"{small}/pages.parquet")
+    story = STORY + STORY
+    page = f"<body><form><p>Search this site for words of any kind and more</p></form><div class='site-sidebar'>{talk}</div><main><article>{story}</article><section id=comments><article class='comment-body'>{talk}</article></section></main><div class='footer-widgets'>{talk}</div>"
+    assert html_text.main_text(page, tree) == f"{STORY_TEXT}\n{STORY_TEXT}"
+    # Names say nothing: comments and notices are told by their neighbours alone.
+    for name in ("reader-remarks", "article-body", "x"):
+        page = f"<body><ul><li><a href=/>Home</a></ul><div>{story}</div><div class={name}><div><a href=/u>Bob</a></div><div>{talk}</div><div><a href=/v>Eve</a></div><div>{talk}</div></div>"
+        assert html_text.main_text(page, tree) == f"{STORY_TEXT}\n{STORY_TEXT}"
+
+
+def article_of(page):
+    inner = re.search("<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?p>|<br>|</?h1>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_of_the_tables_with_and_without_article_tags(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    expected, tree = [article_of(p) for p in pages], html_text.train_tree()
+    for put in ("<article>", "", "<div class='related comments'>", "<section id=sidebar>"):
+        end = f"</{put[1:].split()[0].strip('>')}>" if put else ""
+        assert html_text.main_texts([p.replace("<article>", put).replace("</article>", end) for p in pages], tree) == expected
+
+
+def test_html_neighbours_decide(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    tree, x, y = html_text.train_tree(), *html_text.labelled_blocks()
+    assert ((html_text.judge(tree, x) >= 0.5) == y).mean() >= 0.99
+    blocks = [html_text.text_blocks(p) for p in pages]
+    for names in (html_text.NEIGHBOURS, ("together",), ("text_before", "text_after", "words_before", "words_after", "links_before", "links_after")):
+        changed = 0
+        for b in blocks:
+            features = html_text.block_features(b)
+            before = html_text.judge(tree, features) >= 0.5
+            features[:, [html_text.FIELDS.index(f) for f in names]] = 0
+            changed += bool((before != (html_text.judge(tree, features) >= 0.5)).any())
+        assert changed > 0, names
+
+
+def test_html_malformed_pages_take_linear_time():
     tree = html_text.train_tree()
-    for r in pages.collect():
-        inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?p>|<br>|</?h1>", inner)]
-        assert html_text.main_text(r.html, tree) == "\n".join(b for b in blocks if b)
+    n = 50_000
+    start = time.perf_counter()
+    for page in ("<a x" * 5 * n + '"', "<b>" * n + "<p></p>" * n + "</x>" * n, "<p><button>" + "<b>" * n + "<li></li>" * n, "<!--" * 5 * n, "<table>" * n + "</p>" * n, "<a b='" * n, "<" * 5 * n, "<p " + "x " * 5 * n):
+        html_text.main_text(page, tree)
+    assert time.perf_counter() - start < 20
+
+
+def test_html_edges(spark):
+    # Repeated rows, null ids, clashing columns, text ids.
+    rows = [("a", "u", "<p>one two three", "x"), ("a", "u", "<p>one two three", "x"), (None, None, "<nav>menu</nav>", "x"), ("b", "u", "<p>" + "word " * 200_000, "x")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, n_chars string")
+    got = sorted(((r.page_id or "", r.n_chars) for r in html_text.extract_text(pages).collect()))
+    assert got == [("", 0), ("a", 13), ("a", 13), ("b", 999_999)]
 
 
 def rule_of(url):
