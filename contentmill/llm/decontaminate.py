@@ -180,8 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     aligned = lines.join(hits.select("row", "doc_id", "start", "near"), "row").join(words, "item_id").select("doc_id", "item_id", "start", "near", "shift", "item")
     good = aligned.mapInArrow(_verify(span, agreeing), "doc_id long, item_id long, agreeing long, compared long")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("agreeing", "compared")).alias("best")).select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "best.agreeing", "best.compared")
-    result = ws.table(best, "result")
-    ws.drop("seeds", "hits", "items")
+    result = ws.finish(best)
     bitmap.unpersist()
     return result
 

@@ -202,6 +202,4 @@ def embedding_near_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     per_rep = reps.select("rep", "weight", "label", "v").join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     per_rep = per_rep.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.where("good").join(per_rep, ["label", "v"]).select("id", "links", "component").unionByName(rows.where("not good").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
-    result = ws.table(out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")), "result")
-    ws.drop("rows", "reps", "index", "found")
-    return result
+    return ws.finish(out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")))

@@ -120,6 +120,4 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         order("block", F.col("pass")).alias("block_order"),
         order("id", F.col("pass")).alias("doc_order"),
     )
-    result = ws.table(result, "result")
-    ws.drop("rows", "blocks", "sources")
-    return result
+    return ws.finish(result)

@@ -9,16 +9,15 @@ from contentmill.llm.workspace import Workspace
 
 #: Up to so many rules are compared in place; more are joined by host.
 RULES_IN_PLACE = 256
-#: Levels of the tree; what lies deeper is one segment.
-DEPTH = 8
 #: A level whose different segments are at least so many, and this share of the different
-#: shapes below it, varies. Copies and the number of rows don't count.
+#: paths below it, varies. Copies and the number of rows don't count.
 VARIETY_LEAST, VARIETY_SHARE = 8, 0.3
 #: Two branches are alike if both have so many labels and their shares differ by no more
 #: than this many standard errors.
 MERGE_LABELS, MERGE_ERRORS = 5, 2.0
-#: Labels of the prior, its share of rejected ones, and the share from which a template goes.
-PRIOR_WEIGHT, PRIOR_SHARE, REJECT_FROM = 4.0, 0.25, 0.5
+#: A node counts its parent's share as so many labels; the root's parent has PRIOR_SHARE.
+#: A template is rejected from a smoothed share of REJECT_FROM.
+PARENT_WEIGHT, PRIOR_SHARE, REJECT_FROM = 4.0, 0.25, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,12 +32,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def shape_of(path: Column) -> Column:
-    """Segments with obvious variables as wildcards: numbers, digests, long mixed names."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("...")))).otherwise(parts)
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, r"\.(?:html?|php|aspx?|jsp)$", ""))
-    return F.transform(bare, lambda p: F.when(p.rlike(r"^[0-9]+$|^[0-9a-f-]{12,}$|^(?=.*[0-9]).{16,}$"), "*").otherwise(p))
+def segments_of(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def _smoothed(bad: Column, labels: Column, parent: Column) -> Column:
+    return (bad + PARENT_WEIGHT * parent) / (labels + PARENT_WEIGHT)
 
 
 def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
@@ -64,35 +63,76 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame)
     return pages.join(best, "row", "left").select(*pages.columns, "best.rule", "best.ruled")
 
 
-def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
-    """``host``, ``shape`` and ``template`` of every key (host, shape, bad, good).
+def host_shares(ws: Workspace, keys: DataFrame) -> DataFrame:
+    """``host`` and ``share``: smoothed shares of blocked labels from the root over the host's
+    suffixes (org, example.org, a.example.org) down to the host itself."""
+    hosts = ws.table(keys.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("labels").alias("labels")), "hosts")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    nodes = hosts.where("labels > 0").select(F.explode(F.concat(F.array(F.lit("*")), suffixes)).alias("node"), "bad", "labels").groupBy("node").agg(F.sum("bad").alias("bad"), F.sum("labels").alias("labels"))
+    nodes = ws.table(nodes, "suffixes")
+    root = nodes.where("node = '*'").select("bad", "labels").first() or (0.0, 0.0)
+    top = (root[0] + PARENT_WEIGHT * PRIOR_SHARE) / (root[1] + PARENT_WEIGHT)
+    chain = hosts.select("host", F.posexplode(suffixes).alias("at", "node")).join(nodes, "node").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "bad", "labels"))).alias("chain"))
+    share = F.aggregate("chain", F.lit(top), lambda share, n: _smoothed(n["bad"], n["labels"], share))
+    return hosts.join(chain, "host", "left").select("host", F.coalesce(share, F.lit(top)).alias("share"))
+
 
-    Level by level, each branch's segments are counted over the host's keys. A varying
-    level becomes a wildcard; so do branches whose labels don't tell them from their
-    siblings together. Counts are sums by key; no host's paths are gathered.
+def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
+    """``host``, ``segments``, ``template`` and ``share`` of every key (host, segments, bad, labels).
+
+    The tree of each host is walked from the root, all hosts side by side. At a node the
+    keys' next segments are counted: a varying level becomes a wildcard, and so do branches
+    whose labels don't tell them from their siblings together. A node's share of blocked
+    labels is smoothed toward its parent's. A node of too few keys and labels to generalise
+    keeps them as they are, each a leaf; a stretch that all keys of a node share is passed
+    at once, so there are no more steps than real forks on a path, and no limit to depth.
+    Counts are sums by key; no host's paths are gathered.
     """
-    state = ws.table(keys.withColumn("template", F.lit("")), "tree-0")
-    deepest = keys.agg(F.max(F.size("shape"))).first()[0] or 0
-    branch = ["host", "template"]
-    for level in range(deepest):
-        segment = F.coalesce(F.get("shape", F.lit(level)), F.lit(""))
-        at = state.withColumn("segment", segment)
-        values = at.groupBy(*branch, "segment").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        whole = values.where("segment <> ''").groupBy(*branch).agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-        v = values.join(whole, branch)
-        mine, rest = F.expr("bad + good"), F.expr("all_bad + all_good - bad - good")
-        pooled = F.expr("(all_bad + 1) / (all_bad + all_good + 2)")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
-        told = (mine >= MERGE_LABELS) & (rest >= MERGE_LABELS)
-        close = F.abs(F.col("bad") / F.greatest(mine, F.lit(1)) - F.expr("all_bad - bad") / F.greatest(rest, F.lit(1))) <= MERGE_ERRORS * error
+    state = keys.join(host_shares(ws, keys), "host").select("host", "segments", "bad", "labels", F.lit("").alias("template"), F.lit(0).alias("level"), "share", F.lit(False).alias("done"))
+    state = ws.table(state, "tree-0")
+    done, step = [], 0
+    node, rest = ["host", "template"], F.expr("array_join(slice(segments, level + 1, size(segments)), '/')")
+    while not state.isEmpty():
+        at = state.withColumn("segment", F.coalesce(F.get("segments", F.col("level")), F.lit("")))
+        going = F.when(F.col("segment") != "", F.col("segments"))
+        values = at.groupBy(*node, "segment").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels"), F.min(going).alias("lo"), F.max(going).alias("hi"), F.first("level").alias("level"), F.first("share").alias("parent"))
+        values = ws.table(values, f"values-{step}")
+        inner = F.col("segment") != ""
+        whole = values.groupBy(*node).agg(F.count_if(inner).alias("kinds"), F.sum(F.when(inner, F.col("n"))).alias("all_n"), F.sum(F.when(inner, F.col("bad"))).alias("all_bad"), F.sum(F.when(inner, F.col("labels"))).alias("all_labels"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi"), _smoothed(F.sum("bad"), F.sum("labels"), F.first("parent")).alias("share"))
+        v = values.join(whole, node)
+        mine, others = F.col("labels"), F.expr("all_labels - labels")
+        pooled = F.expr("(all_bad + 1) / (all_labels + 2)")
+        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1.0)) + 1 / F.greatest(others, F.lit(1.0))))
+        told = (mine >= MERGE_LABELS) & (others >= MERGE_LABELS)
+        close = F.abs(F.col("bad") / F.greatest(mine, F.lit(1.0)) - F.expr("all_bad - bad") / F.greatest(others, F.lit(1.0))) <= MERGE_ERRORS * error
         varies = (F.col("kinds") >= VARIETY_LEAST) & (F.col("kinds") >= VARIETY_SHARE * F.col("all_n"))
+        small = (F.col("all_n") < VARIETY_LEAST) & (F.col("all_labels") < 2 * MERGE_LABELS)
+        shared = F.expr("coalesce(array_min(filter(sequence(level, least(size(all_lo), size(all_hi)) - 1), i -> all_lo[i] <> all_hi[i])), least(size(all_lo), size(all_hi)))")
         # A branch whose labels tell it from its siblings keeps its name on a varying level too.
-        name = F.when(F.col("segment") == "", "").when(F.when(told, close).otherwise(varies), "/*").otherwise(F.concat(F.lit("/"), "segment"))
-        named = v.select(*branch, "segment", name.alias("name"))
-        grown = at.join(named, [*branch, "segment"], "left").withColumn("template", F.concat("template", F.coalesce("name", F.lit(""))))
-        state = ws.table(grown.select(*state.columns), f"tree-{level + 1}")
-        ws.drop(f"tree-{level}")
-    return state.select("host", "shape", "template", "bad", "good")
+        name = F.when(F.col("segment") == "", "end").when(small, "leaf").when(F.col("kinds") == 1, "stretch").when(F.when(told, close).otherwise(varies), "any").otherwise("own")
+        named = v.select(*node, "segment", name.alias("name"), F.col("share").alias("own"), F.when(F.col("kinds") == 1, shared).alias("shared"))
+        own = F.replace("segment", F.lit("*"), F.lit("%2A"))
+        grown = at.join(named, [*node, "segment"]).select(
+            "host",
+            "segments",
+            "bad",
+            "labels",
+            F.when(F.col("name") == "end", F.col("template")).when(F.col("name") == "leaf", F.concat("template", F.lit("/"), rest)).when(F.col("name") == "any", F.concat("template", F.lit("/*")))
+            .when(F.col("name") == "own", F.concat("template", F.lit("/"), own)).otherwise(F.concat("template", F.lit("/"), F.expr("array_join(slice(segments, level + 1, shared - level), '/')"))).alias("template"),
+            F.when(F.col("name") == "stretch", F.col("shared")).otherwise(F.col("level") + 1).alias("level"),
+            F.when(F.col("name") == "leaf", _smoothed(F.col("bad"), F.col("labels"), F.col("own"))).otherwise(F.col("own")).alias("share"),
+            F.col("name").isin("end", "leaf").alias("done"),
+        )
+        step += 1
+        grown = ws.table(grown, f"tree-{step}")
+        ws.drop(f"values-{step - 1}", *([f"tree-{step - 1}"] if step == 1 else []))
+        done.append(grown.where("done").select("host", "segments", "template", "share"))
+        state = grown.where("not done")
+    out = keys.select("host", "segments", F.lit("").alias("template"), F.lit(PRIOR_SHARE).alias("share")).limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, labels: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -100,12 +140,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
 
     Columns: the id, ``host``, ``path``, ``rule`` (of the longest fitting one, else null),
     ``verdict`` (block or allow), ``template`` and ``impurity``. Urls that a rule decides
-    are labels for the tree, besides ``labels`` (the id and verdict of some more). A template
-    is rejected when its smoothed share of blocked labels is at least ``REJECT_FROM``.
+    are labels for the tree, besides ``labels`` (the id and verdict of some more); a
+    different path counts as one label however often it occurs. A template is rejected when
+    its share of blocked labels, smoothed toward that of its branch, its host and the host's
+    domain, is at least ``REJECT_FROM``.
 
     A null url or one without :// has an empty host and path and is judged like others of
-    that host; repeated rows each get a row; a null id stays; other columns are ignored;
-    an empty table gives an empty result.
+    that host; repeated rows each get a row; a null id stays; paths of any depth are walked
+    to their end; other columns are ignored; an empty table gives an empty result.
     """
     ws = Workspace(pages.sparkSession, "url-filter")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -115,18 +157,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
         rows = rows.join(more, "id", "left")
     else:
         rows = rows.withColumn("told", F.lit(None).cast("string"))
-    rows = ws.table(rows.withColumn("shape", shape_of(F.col("path"))), "ruled")
-    label = F.coalesce("ruled", "told")
-    keys = rows.groupBy("host", "shape").agg(F.count_if(label == "block").alias("bad"), F.count_if(label == "allow").alias("good"))
-    templates = ws.table(path_templates(ws, ws.table(keys, "keys")), "templates")
-    impurity = (F.sum("bad") + PRIOR_WEIGHT * PRIOR_SHARE) / (F.sum("bad") + F.sum("good") + PRIOR_WEIGHT)
-    judged = templates.groupBy("host", "template").agg(impurity.alias("impurity"))
-    by_key = ws.table(templates.join(judged, ["host", "template"]).select("host", "shape", "template", "impurity"), "judged")
-    verdict = F.coalesce("ruled", "told", F.when(F.col("impurity") >= REJECT_FROM, "block").otherwise("allow"))
-    out = rows.join(by_key, ["host", "shape"]).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "impurity")
-    result = ws.table(out, "result")
-    ws.drop("rows", "ruled", "keys", "templates", "judged")
-    return result
+    rows = ws.table(rows.withColumn("segments", segments_of(F.col("path"))), "ruled")
+    blocked = (F.coalesce("ruled", "told") == "block").cast("double")
+    keys = rows.groupBy("host", "segments").agg(F.coalesce(F.avg(blocked), F.lit(0.0)).alias("bad"), (F.count(blocked) > 0).cast("double").alias("labels"))
+    judged = path_templates(ws, ws.table(keys, "keys"))
+    verdict = F.coalesce("ruled", "told", F.when(F.col("share") >= REJECT_FROM, "block").otherwise("allow"))
+    out = rows.join(judged, ["host", "segments"]).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", F.col("share").alias("impurity"))
+    return ws.finish(out)
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

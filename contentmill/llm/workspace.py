@@ -3,43 +3,65 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+
+class NoSharedFolder(RuntimeError):
+    """The session names no folder for intermediate tables."""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder of ``spark.checkpoint.dir``. Only a session on one machine may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/contentmill"
 
 
 class Workspace:
-    """Writes tables below ``spark.checkpoint.dir`` and reads them back.
+    """Writes tables below the shared folder and reads them back.
 
-    A written table cuts the lineage and survives a lost executor. ``drop``
-    removes tables that no returned DataFrame still reads.
+    A written table cuts the lineage and survives a lost executor. ``finish`` writes the
+    result and removes all others; ``drop`` removes tables that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        self._release()
+        try:
+            df.write.mode("overwrite").parquet(path)
+        except BaseException:
+            self._delete(self.root)
+            raise
+        self.kept.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _release(self) -> None:
-        """Lets the cleaner remove shuffle files of finished steps, which it does once
-        the driver's handles to them are collected."""
+    def finish(self, df: DataFrame) -> DataFrame:
+        out = self.table(df, "result")
+        self.drop(*[name for name in self.kept if name != "result"])
+        return out
+
+    def release(self) -> None:
+        """Lets the cleaner remove shuffle files of finished steps, which it does once the
+        driver's handles to them are collected. For steps with large shuffles."""
         gc.collect()
         self.spark._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+            if name in self.kept:
+                self.kept.remove(name)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

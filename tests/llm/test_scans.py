@@ -238,33 +238,121 @@ def test_url_rules_equal_brute_force(spark, monkeypatch, in_place):
     assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
-def test_url_templates(spark):
-    urls = [f"http://spam.org/buy/{i}" for i in range(30)] + [f"http://spam.org/news/item-{w}" for w in "abcdefghijkl"] + ["http://spam.org/about"]
+def brute_templates(keys):
+    """(host, segments) -> (template, share), by recursion over each host's keys (bad, labels)."""
+    P, L, W, V = url_filter.MERGE_ERRORS, url_filter.MERGE_LABELS, url_filter.PARENT_WEIGHT, url_filter.VARIETY_LEAST
+    smooth = lambda bad, n, parent: (bad + W * parent) / (n + W)
+    sums = lambda part: (sum(keys[k][0] for k in part), sum(keys[k][1] for k in part))
+    out = {}
+
+    def walk(part, template, level, parent):
+        share = smooth(*sums(part), parent)
+        for k in part:
+            if len(k[1]) == level:
+                out[k] = (template, share)
+        part = [k for k in part if len(k[1]) > level]
+        bad, n = sums(part)
+        if len(part) < V and n < 2 * L:
+            for k in part:
+                out[k] = ("/".join([template, *k[1][level:]]), smooth(*keys[k], share))
+            return
+        kinds = {}
+        for k in part:
+            kinds.setdefault(k[1][level], []).append(k)
+        if len(kinds) == 1:
+            end = level
+            while len({k[1][end] if len(k[1]) > end else None for k in part}) == 1 and len(part[0][1]) > end:
+                end += 1
+            return walk(part, "/".join([template, *part[0][1][level:end]]), end, share)
+        groups = {}
+        for segment, own in kinds.items():
+            b, m = sums(own)
+            if m >= L and n - m >= L:
+                pooled = (bad + 1) / (n + 2)
+                joined = abs(b / m - (bad - b) / (n - m)) <= P * math.sqrt(pooled * (1 - pooled) * (1 / m + 1 / (n - m)))
+            else:
+                joined = len(kinds) >= V and len(kinds) >= url_filter.VARIETY_SHARE * len(part)
+            groups.setdefault("*" if joined else segment.replace("*", "%2A"), []).extend(own)
+        for segment, own in groups.items():
+            walk(own, f"{template}/{segment}", level + 1, share)
+
+    suffixes = lambda host: ["*", *[".".join(host.split(".")[-i:]) for i in range(1, len(host.split(".")) + 1)]]
+    nodes, hosts = {}, {}
+    for k, (bad, n) in keys.items():
+        hosts.setdefault(k[0], []).append(k)
+        for s in suffixes(k[0]):
+            x = nodes.setdefault(s, [0, 0])
+            x[0], x[1] = x[0] + bad, x[1] + n
+    for host, part in hosts.items():
+        share = url_filter.PRIOR_SHARE
+        for s in suffixes(host):
+            share = smooth(*nodes[s], share)
+        walk(part, "", 0, share)
+    return out
+
+
+def judged_by_brute(urls, labels, rules):
+    keys, known = {}, []
+    for u, told in zip(urls, labels, strict=True):
+        host, path, _, ruled = rule_of(u) if rules else (*rule_of(u)[:2], None, None)
+        known.append(((host, tuple(s for s in path.split("/") if s)), ruled or told))
+    for k, v in known:
+        keys.setdefault(k, []).append(v)
+    found = brute_templates({k: (sum(v == "block" for v in vs) / max(1, sum(v is not None for v in vs)), float(any(v is not None for v in vs))) for k, vs in keys.items()})
+    return [(*found[k], v or ("block" if found[k][1] >= url_filter.REJECT_FROM else "allow")) for k, v in known]
+
+
+def check_templates(spark, urls, labels, rules):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, "block") for i in range(20)] + [(i, "allow") for i in range(30, 36)], "page_id long, verdict string")
-    got = {r.page_id: r for r in url_filter.filter_urls(pages, [], labels).collect()}
-    assert got[25].template == "/buy/*" and got[25].verdict == "block"
-    assert got[40].template == "/news/*" and got[40].verdict == "allow" and got[42].template == "/about"
+    told = spark.createDataFrame([(i, v) for i, v in enumerate(labels) if v], "page_id long, verdict string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, URL_RULES if rules else [], told).collect()}
+    assert len(got) == len(urls)
+    for i, (template, share, verdict) in enumerate(judged_by_brute(urls, labels, rules)):
+        assert got[i].template == template and math.isclose(got[i].impurity, share, rel_tol=1e-9) and got[i].verdict == verdict, (urls[i], got[i], template, share, verdict)
+    return [got[i] for i in range(len(urls))]
+
+
+def test_url_tree_equals_brute_force_on_the_tables(spark):
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    got = check_templates(spark, urls, [None] * len(urls), True)
+    # The tree itself blocks some of the urls that no rule decides and allows others.
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = random.Random(11)
+    names = ["a", "b", "good", "bad", "*", "x y", "é", *map(str, range(30))]
+    deep = "/".join("abcdefgh" * 4)
+    urls = [f"http://{rng.choice(('h1.org', 'h2.org', 'www.h1.org', 'com'))}/" + "/".join(rng.choice(names) for _ in range(rng.randrange(0, 6))) for _ in range(400)]
+    urls += [f"http://h1.org/{deep}/{rng.choice(('good', 'bad'))}/{i}" for i in range(60)] + [None, "", "none", "http://", "http://h1.org//a///b/"]
+    urls += urls[:40]
+    labels = [None if rng.random() < 0.5 else "block" if "bad" in (u or "") or rng.random() < 0.1 else "allow" for u in urls]
+    check_templates(spark, urls, labels, False)
 
 
 @pytest.mark.parametrize("copies", [1, 3])
-def test_url_templates_do_not_follow_copies_or_volume(spark, copies):
+def test_url_templates_do_not_follow_copies(spark, copies):
     slugs = [f"http://a.com/slug-{w}" for w in "abcdefghi"]
-    # Of one shape each, however many pages there are.
     deep = [f"http://b.com/{w}/{i}" for w in ("en", *"abcdefghi") for i in range(8)]
-    urls = (slugs + ["http://a.com/en/"] * 3 + deep) * copies
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {(r.host, r.path): (r.template, r.verdict) for r in url_filter.filter_urls(pages, URL_RULES).collect()}
-    assert all(got["a.com", f"/slug-{w}"] == ("/*", "block") for w in "abcdefghi")
-    assert all(got["b.com", f"/{w}/{i}"] == ("/*/*", "block") for w in "abcdefghi" for i in range(8))
+    urls = (slugs + ["http://a.com/en/", "http://a.com/en/1"] + deep) * copies
+    got = check_templates(spark, urls, [None] * len(urls), True)
+    assert {r.template for r in got if r.path.startswith("/slug")} == {"/*"}
 
 
-def test_url_sections_that_labels_tell_apart_stay(spark):
-    urls = [f"http://a.org/{w}/{i}" for w in "abcdefghij" for i in range(8)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, "block" if u.startswith("http://a.org/a/") else "allow") for i, u in enumerate(urls) if i % 8 < 6], "page_id long, verdict string")
-    got = {r.path: (r.template, r.verdict) for r in url_filter.filter_urls(pages, [], labels).collect()}
-    assert got["/a/7"] == ("/a/*", "block") and got["/b/7"] == ("/*/*", "allow")
+def test_url_tree_has_no_depth_limit(spark):
+    # Good and bad branches below a long shared stretch are told apart.
+    stem = "/".join("abcdefg" * 9)
+    urls = [f"http://h.org/{stem}/{w}/{i}" for w in ("good", "bad") for i in range(20)]
+    got = check_templates(spark, urls, ["block" if "/bad/" in u else "allow" if i % 20 < 10 else None for i, u in enumerate(urls)][:30] + [None] * 10, False)
+    assert {r.verdict for r in got if "/bad/" in r.path} == {"block"} and {r.verdict for r in got if "/good/" in r.path} == {"allow"}
+
+
+def test_url_edges(spark):
+    rows = [(None, "http://a.org/x", "c"), (None, "http://a.org/x", "c"), ("t", None, "c"), ("t", "http://a.org/" + "/".join(["s"] * 50_000), "c")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, template string")
+    got = url_filter.filter_urls(pages, URL_RULES)
+    assert sorted((r.page_id or "", r.host) for r in got.collect()) == [("", "a.org"), ("", "a.org"), ("t", ""), ("t", "a.org")]
+    assert dict(got.dtypes)["page_id"] == "string"
 
 
 def test_quality_on_held_out_rows(spark):
