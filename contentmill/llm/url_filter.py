@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentmill.llm.skew import join_hot
 from contentmill.llm.workspace import Workspace
 
 #: Up to so many rules are compared in place; more are joined by host.
@@ -64,18 +65,18 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame)
 
 
 def host_shares(ws: Workspace, keys: DataFrame) -> DataFrame:
-    """``host`` and ``share``: smoothed shares of blocked labels from the root over the host's
+    """``host``, ``n`` (its keys) and ``share``: smoothed shares of blocked labels from the root over the host's
     suffixes (org, example.org, a.example.org) down to the host itself."""
-    hosts = ws.table(keys.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("labels").alias("labels")), "hosts")
+    hosts = ws.table(keys.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels")), "hosts")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
-    nodes = hosts.where("labels > 0").select(F.explode(F.concat(F.array(F.lit("*")), suffixes)).alias("node"), "bad", "labels").groupBy("node").agg(F.sum("bad").alias("bad"), F.sum("labels").alias("labels"))
+    nodes = hosts.select(F.explode(F.concat(F.array(F.lit("*")), suffixes)).alias("node"), "bad", "labels").groupBy("node").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels")).where("labels > 0")
     nodes = ws.table(nodes, "suffixes")
     root = nodes.where("node = '*'").select("bad", "labels").first() or (0.0, 0.0)
     top = (root[0] + PARENT_WEIGHT * PRIOR_SHARE) / (root[1] + PARENT_WEIGHT)
-    chain = hosts.select("host", F.posexplode(suffixes).alias("at", "node")).join(nodes, "node").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "bad", "labels"))).alias("chain"))
+    chain = join_hot(hosts.select("host", F.posexplode(suffixes).alias("at", "node")), nodes.where("node <> '*'"), ["node"], "n").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "bad", "labels"))).alias("chain"))
     share = F.aggregate("chain", F.lit(top), lambda share, n: _smoothed(n["bad"], n["labels"], share))
-    return hosts.join(chain, "host", "left").select("host", F.coalesce(share, F.lit(top)).alias("share"))
+    return ws.table(hosts.join(chain, "host", "left").select("host", "n", F.coalesce(share, F.lit(top)).alias("share")), "shares")
 
 
 def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
     at once, so there are no more steps than real forks on a path, and no limit to depth.
     Counts are sums by key; no host's paths are gathered.
     """
-    state = keys.join(host_shares(ws, keys), "host").select("host", "segments", "bad", "labels", F.lit("").alias("template"), F.lit(0).alias("level"), "share", F.lit(False).alias("done"))
+    state = join_hot(keys, host_shares(ws, keys), ["host"], "n").select("host", "segments", "bad", "labels", F.lit("").alias("template"), F.lit(0).alias("level"), "share", F.lit(False).alias("done"))
     state = ws.table(state, "tree-0")
     done, step = [], 0
     node, rest = ["host", "template"], F.expr("array_join(slice(segments, level + 1, size(segments)), '/')")
@@ -99,8 +100,8 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
         values = at.groupBy(*node, "segment").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels"), F.min(going).alias("lo"), F.max(going).alias("hi"), F.first("level").alias("level"), F.first("share").alias("parent"))
         values = ws.table(values, f"values-{step}")
         inner = F.col("segment") != ""
-        whole = values.groupBy(*node).agg(F.count_if(inner).alias("kinds"), F.sum(F.when(inner, F.col("n"))).alias("all_n"), F.sum(F.when(inner, F.col("bad"))).alias("all_bad"), F.sum(F.when(inner, F.col("labels"))).alias("all_labels"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi"), _smoothed(F.sum("bad"), F.sum("labels"), F.first("parent")).alias("share"))
-        v = values.join(whole, node)
+        whole = values.groupBy(*node).agg(F.count("*").alias("all_values"), F.count_if(inner).alias("kinds"), F.sum(F.when(inner, F.col("n"))).alias("all_n"), F.sum(F.when(inner, F.col("bad"))).alias("all_bad"), F.sum(F.when(inner, F.col("labels"))).alias("all_labels"), F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi"), _smoothed(F.sum("bad"), F.sum("labels"), F.first("parent")).alias("share"))
+        v = join_hot(values, ws.table(whole, f"nodes-{step}"), node, "all_values")
         mine, others = F.col("labels"), F.expr("all_labels - labels")
         pooled = F.expr("(all_bad + 1) / (all_labels + 2)")
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1.0)) + 1 / F.greatest(others, F.lit(1.0))))
@@ -111,9 +112,10 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
         shared = F.expr("coalesce(array_min(filter(sequence(level, least(size(all_lo), size(all_hi)) - 1), i -> all_lo[i] <> all_hi[i])), least(size(all_lo), size(all_hi)))")
         # A branch whose labels tell it from its siblings keeps its name on a varying level too.
         name = F.when(F.col("segment") == "", "end").when(small, "leaf").when(F.col("kinds") == 1, "stretch").when(F.when(told, close).otherwise(varies), "any").otherwise("own")
-        named = v.select(*node, "segment", name.alias("name"), F.col("share").alias("own"), F.when(F.col("kinds") == 1, shared).alias("shared"))
+        named = v.select(*node, "segment", "n", name.alias("name"), F.col("share").alias("own"), F.when(F.col("kinds") == 1, shared).alias("shared"))
         own = F.replace("segment", F.lit("*"), F.lit("%2A"))
-        grown = at.join(named, [*node, "segment"]).select(
+        named = ws.table(named, f"named-{step}")
+        grown = join_hot(at, named, [*node, "segment"], "n").select(
             "host",
             "segments",
             "bad",
@@ -126,7 +128,7 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
         )
         step += 1
         grown = ws.table(grown, f"tree-{step}")
-        ws.drop(f"values-{step - 1}", *([f"tree-{step - 1}"] if step == 1 else []))
+        ws.drop(*[f"{name}-{step - 1}" for name in ("values", "nodes", "named")], *(["tree-0"] if step == 1 else []))
         done.append(grown.where("done").select("host", "segments", "template", "share"))
         state = grown.where("not done")
     out = keys.select("host", "segments", F.lit("").alias("template"), F.lit(PRIOR_SHARE).alias("share")).limit(0)
