@@ -12,9 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHUNK = 256
-#: Code points kept before a match.
-LEFT = 64
-
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -41,17 +38,39 @@ def gated(needed: Column, pattern: str, text: str = "text") -> Column:
 
 
 def spans(text: str, found: str, pattern: str) -> Column:
-    """Spans (start, end, body, left) of ``pattern``; column ``found`` holds its matches.
-
-    ``left`` is the end of the text before the match, back to the match before it.
+    """Spans (start, end, body) of ``pattern``; column ``found`` holds its matches.
 
     Null when ``found`` is empty, so that texts without a match pay for one scan only.
     """
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.col(found), lambda gap, own: F.struct(F.length(gap).alias("gap"), F.length(own).alias("own"), own.alias("body"), F.right(gap, F.lit(LEFT)).alias("left")))
-    placed = F.zip_with(running_starts(steps), steps, lambda at, s: F.struct(at.alias("start"), (at + s["own"]).cast("int").alias("end"), s["body"].alias("body"), s["left"].alias("left")))
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.col(found), lambda gap, own: F.struct(F.length(gap).alias("gap"), F.length(own).alias("own"), own.alias("body")))
+    placed = F.zip_with(running_starts(steps), steps, lambda at, s: F.struct(at.alias("start"), (at + s["own"]).cast("int").alias("end"), s["body"].alias("body")))
     return F.when(F.size(found) > 0, placed)
 
 
+def pieces(text: str, found: str, pattern: str) -> Column:
+    """The texts before, between and after the matches; null when there are none."""
+    return F.when(F.size(found) > 0, F.split(text, pattern, -1))
+
+
+def spans_in_context(gaps: str, found: str) -> Column:
+    """Spans as in ``spans``, from ``pieces``, with up to two words ``left`` and ``right``.
+
+    Words are whole, however long; a match of the same kind beside this one ends them.
+    """
+    count = F.size(found)
+    two = r"^\s*(\S+(?:\s+\S+)?)"
+
+    def step(gap: Column, own: Column) -> Column:
+        left = F.reverse(F.regexp_extract(F.reverse(gap), two, 1))
+        return F.struct(F.length(gap).alias("gap"), F.length(own).alias("own"), own.alias("body"), left.alias("left"))
+
+    steps = F.zip_with(F.slice(gaps, F.lit(1), count), F.col(found), step)
+    rights = F.transform(F.slice(gaps, F.lit(2), count), lambda gap: F.regexp_extract(gap, two, 1))
+    placed = F.zip_with(running_starts(steps), steps, lambda at, s: F.struct(at.alias("start"), (at + s["own"]).cast("int").alias("end"), s["body"].alias("body"), s["left"].alias("left")))
+    both = F.zip_with(placed, rights, lambda s, right: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), s["left"].alias("left"), right.alias("right")))
+    return F.when(count > 0, both)
+
+
 def tagged(found: Column, kind: str, rank: int) -> Column:
     """Sortable spans of one kind; an empty array for null."""
     out = F.transform(found, lambda s: F.struct(s["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), s["end"].cast("int").alias("end"), F.lit(kind).alias("kind")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contentmill.llm import decontaminate, html_text, licenses, mixing, pii, quality, secrets, spans, url_filter
 from contentmill.llm.queries import URL_RULES
+from contentmill.llm.workspace import Workspace
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -75,19 +76,140 @@ def test_markov_finds_noise_and_leaves_words(spark):
     assert [r.spans for r in got] == [f"markov:4:{4 + len(w)}" for w in noise] + [""] * 4
 
 
+def test_markov_on_held_out_samples(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base36, base62 = letters + "0123456789", letters + letters.upper() + "0123456789"
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = "river mountain customer invoice payment window garden kitchen travel monthly account balance transfer weather station morning orange planet signal engine bridge castle forest Rechnung Zahlung Fenster Garten Küche maison fenêtre voiture ventana cocina jardín".split()
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    noise = {
+        "base62 of 24": lambda: pick(base62, 24),
+        "base62 of 40": lambda: pick(base62, 40),
+        "base36 of 20": lambda: pick(base36, 20),
+        "hex head": lambda: pick("0123456789abcdef", 16) + pick(base62, 16),
+        "named": lambda: f"name={pick(base62, 24)}",
+        "dotted": lambda: f"{pick(base62, 16)}.{pick(base62, 18)}",
+        "in a path": lambda: f"/srv/{rng.choice(words)}/{pick(base62, 24)}/index",
+        "base64": lambda: pick(base62 + "+/", 44) + "=",
+    }
+    plain = {
+        "camel": lambda: "".join(w.title() for w in some(4)),
+        "snake": lambda: "_".join(some(4)),
+        "kebab": lambda: "-".join(some(4)),
+        "constant": lambda: "_".join(some(3)).upper(),
+        "joined": lambda: "".join(some(3)),
+        "path": lambda: "/".join(some(5)),
+        "numbered": lambda: f"{rng.choice(words)}-{rng.randrange(10**4)}-{rng.choice(words)}",
+        "date": lambda: f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}-{rng.randrange(10, 24)}-{rng.randrange(10, 60)}-00",
+    }
+    texts = [(kind, f"see {make()} here") for kinds in (noise, plain) for kind, make in kinds.items() for _ in range(150)]
+    got = secrets.scan_secrets(table(spark, [t for _, t in texts])).select("doc_id", F.size("markov").alias("n")).collect()
+    hit = {}
+    for r in got:
+        hit.setdefault(texts[r.doc_id][0], []).append(r.n > 0)
+    share = {k: sum(v) / len(v) for k, v in hit.items()}
+    assert all(share[k] >= 0.9 for k in noise), share
+    assert all(share[k] <= 0.02 for k in plain), share
+
+
+def test_markov_scores_equal_brute_force(spark):
+    model = secrets.train_markov(secrets.samples(spark, 500))
+    k, place = len(secrets.ALPHABET) + 1, {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    sample = [(r.body, r.random) for r in secrets.samples(spark, 500).collect()]
+    counts = {c: np.ones((k, k)) for c in (True, False)}
+    for body, kind in sample:
+        p = [place.get(c, 0) for c in body]
+        for x, y in zip(p, p[1:], strict=False):
+            counts[kind][x, y] += 1
+    logs = {c: np.log(m / m.sum(1, keepdims=True)) for c, m in counts.items()}
+    expected = np.round(logs[True] - logs[False], 6)
+    assert np.allclose(np.array(model).reshape(k, k), expected)
+    texts = ["Xq7Rk2Lp9Vt4Zn8Wc3Yb", "a", "", "plain_words_only é"]
+    ratios = F.from_json(F.lit("[" + ",".join(map(str, model)) + "]"), "array<double>")
+    got = [r[0] for r in table(spark, texts).orderBy("doc_id").select(secrets.markov_ratio(F.col("text"), ratios)).collect()]
+    for t, g in zip(texts, got, strict=True):
+        p = [place.get(c, 0) for c in t]
+        assert math.isclose(g, sum(expected[x, y] for x, y in zip(p, p[1:], strict=False)), abs_tol=1e-9)
+
+
+def test_markov_leaves_the_tables_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert secrets.scan_secrets(docs).where("size(markov) > 0").count() == 0
+
+
 def test_masking(spark):
     docs = table(spark, ["é token = abcdefghijklmnop end", "clean", None, "ab 0123456789abcdef0123"])
     assert [r.text for r in secrets.mask_secrets(docs).orderBy("doc_id").collect()] == ["é <secret> end", "clean", None, "ab <secret>"]
     assert secrets.mask_secrets(docs).columns == docs.columns
 
 
-def test_contexts_reveal_identifiers(spark):
+def test_patterns_reveal_identifiers(spark):
     texts = [f"the client mail is user{i}@example.com now" for i in range(30)] + ["the client mail is AB1234567 now", "my own number AB7654321 now", None]
     found = pii.find_pii(table(spark, texts))
-    assert [r.doc_id for r in found.where("size(context) > 0").collect()] == [30]
+    assert [(r.doc_id, r.context[0].kind) for r in found.where("size(context) > 0").collect()] == [(30, "context-email")]
     assert pii.find_pii(table(spark, texts).limit(0)).count() == 0
 
 
+def test_patterns_reveal_further_patterns(spark):
+    # A: seeds reveal members' numbers; B: those numbers reveal a pattern; C: it reveals others.
+    texts = [f"w{i} please call phone +1 (325) 555-{8000 + i} x{i}" for i in range(40)]
+    texts += [f"v{i} please call phone M{700000 + i} y{i}" for i in range(12)]
+    texts += [f"u{i} our member card M{700000 + i} z{i}" for i in range(12)]
+    texts += ["t our member card 0171 2345678 s", "r our member card 12.345.678-9 q"]
+    texts += [f"p{i} built in year {100000 + i} o{i}" for i in range(30)] + ["n built in year M700003 m"]
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.context] for r in pii.find_pii(table(spark, texts)).where("size(context) > 0").collect()}
+    assert set(got) == set(range(40, 66)), got
+    assert got[64] == [("context-phone", "0171 2345678")] and got[65] == [("context-phone", "12.345.678-9")]
+
+
+def brute_patterns(edges):
+    graph = {}
+    for p, i, k in edges:
+        graph.setdefault(p, {})
+        graph[p][i] = min(x for x in (k, graph[p].get(i)) if x) if k or graph[p].get(i) else None
+    graph = {p: g for p, g in graph.items() if len(g) >= pii.SEEDS_LEAST}
+    trust, known = {}, None
+    while True:
+        out = {}
+        for p, g in graph.items():
+            scores = [(1.0, k) if k else trust.get(i, (0.0, None)) for i, k in g.items()]
+            total, trusted = sum(s for s, _ in scores), [x for x in scores if x[1]]
+            c = total / (total + pii.UNKNOWN * (len(scores) - len(trusted)) + 1)
+            if len(trusted) >= pii.SEEDS_LEAST and c >= pii.CONFIDENCE_LEAST:
+                mass = {}
+                for s, k in trusted:
+                    mass[k] = mass.get(k, 0) + s
+                out[p] = (c, max(mass, key=lambda k: (round(mass[k], 9), k)))
+        if len(out) == known or not out:
+            return out
+        known, trust = len(out), {}
+        for p, x in out.items():
+            for i, k in graph[p].items():
+                if not k:
+                    trust[i] = max(trust.get(i, (0.0, "")), x)
+
+
+def test_patterns_equal_brute_force(spark):
+    rng = random.Random(9)
+    edges = []
+    for _ in range(900):
+        p = min(int(rng.expovariate(0.12)), 30)
+        i = rng.randrange(60) + 40 * (p % 4)
+        edges.append((f"p{p}", f"i{i}", rng.choice(("email", "phone")) if i % 3 and i < 90 else None))
+    df = spark.createDataFrame(edges, "pattern string, instance string, kind string")
+    got = {r.pattern: (r.confidence, r.kind) for r in pii.learn_patterns(Workspace(spark, "t"), df).collect()}
+    expected = brute_patterns(edges)
+    assert got.keys() == expected.keys() and len(got) > 3
+    assert all(math.isclose(got[p][0], expected[p][0]) and got[p][1] == expected[p][1] for p in got)
+
+
+def test_long_words_stay_whole_in_patterns(spark):
+    word = "w" * 500
+    texts = [f"{word} {word} user{i}@example.com" for i in range(20)] + [f"{word} {word} A1234567", f"{word} v{word[1:]} A7654321"]
+    assert [r.doc_id for r in pii.find_pii(table(spark, texts)).where("size(context) > 0").collect()] == [20]
+
+
 def test_running_starts_are_exact_past_one_chunk(spark):
     n = 3 * spans.CHUNK + 7
     got = secrets.scan_secrets(table(spark, [" 0123456789abcdef" * n])).first()["hex"]
