@@ -20,7 +20,6 @@ MARGIN = 64
 GAP = 16
 #: Address bits of the filter of benchmark hashes; its size is fixed.
 COARSE_BITS, FINE_BITS = 20, 26
-_SLOT = 8192
 
 #: Words here are runs of ASCII letters, digits and non-ASCII bytes.
 BREAKS = np.ones(256, dtype=bool)
@@ -45,13 +44,10 @@ def _item_seeds(batches):
         for block in blocks(batch.column(1), BREAKS):
             for i, row in enumerate(range(block.first, block.last)):
                 words = block.words[block.word_at[i] : block.word_at[i + 1]]
-                item = batch.column(0)[row].as_py()
-                if item is None:
-                    continue
                 found = [_mask_hashes(words, m, k) for k, m in enumerate(MASKS)]
                 n = sum(map(len, found))
                 at = np.concatenate([np.arange(len(x)) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, item)), pa.array(at), pa.array(np.concatenate(found).view(np.int64))], ["item_id", "at", "seed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, row))), pa.array(at), pa.array(np.concatenate(found).view(np.int64))], ["item_id", "at", "seed"])
 
 
 def _item_words(batches):
@@ -62,14 +58,19 @@ def _item_words(batches):
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size: one coarse and two fine bits for each seed."""
+    """A bitmap of fixed size: one coarse and two fine bits for each seed.
+
+    Executors build its pages; the driver gets their bytes, at most the bitmap's size.
+    """
     fine = 1 << FINE_BITS
     bits = F.array(F.expr(f"seed & {fine - 1}"), F.expr(f"shiftrightunsigned(seed, {FINE_BITS}) & {fine - 1}"), F.expr(f"{fine} + shiftrightunsigned(seed, {64 - COARSE_BITS})"))
-    slots = seeds.select(F.explode(bits).alias("bit")).select(F.expr(f"bit div {_SLOT}").alias("slot"), F.expr(f"cast(bit % {_SLOT} as int)").alias("at")).groupBy("slot").agg(F.collect_set("at").alias("at"))
-    flags = np.zeros(fine + (1 << COARSE_BITS), dtype=np.uint8)
-    for slot, at in slots.collect():
-        flags[slot * _SLOT + np.array(at)] = 1
-    return np.packbits(flags, bitorder="little")
+    places = seeds.select(F.explode(F.transform(bits, lambda b: b + 1)).alias("bit"))
+    pages = places.groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bytes"))
+    out = np.zeros((fine + (1 << COARSE_BITS)) // 8, dtype=np.uint8)
+    for page, part in pages.collect():
+        at = (page - 1) * len(part)
+        out[at : at + len(part)] = np.frombuffer(bytes(part), dtype=np.uint8)[: len(out) - at]
+    return out
 
 
 def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at[test((hashes[at] >> np.uint64(FINE_BITS)) & fine) == 1]
 
 
-def _hits(bitmap):
+def _hits(bitmap, margin: int):
     """Arrow batches (id, text) -> clusters of hits with the words around them."""
 
     def run(batches):
@@ -111,7 +112,7 @@ def _hits(bitmap):
                 for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                     d = doc[a]
                     first, last = block.word_at[d], block.word_at[d + 1]
-                    w0, w1 = max(first, at[a] - MARGIN), min(last, at[b - 1] + MARGIN)
+                    w0, w1 = max(first, at[a] - margin), min(last, at[b - 1] + margin)
                     rows[0].append(block.first + int(d))
                     rows[1].append(int(w0 - first))
                     rows[2].append(block.words[w0:w1].view(np.int64))
@@ -163,22 +164,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     ``agreeing`` and ``compared`` words at the best place.
 
     Null and empty texts, rows with a null id, and items of fewer than five words match
-    nothing; repeated rows give one pair; other columns are ignored; without documents
-    or items the result is empty.
+    nothing; ids of both may have any type; repeated rows give one pair, and rows that
+    repeat an id with different texts count together; texts of any length are read whole;
+    other columns are ignored; without documents or items the result is empty. A line is
+    compared up to ``MARGIN`` words beyond its hits, which is more than any window of
+    ``span`` words that holds one of them needs.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "decontaminate")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).distinct()
-    seeds = ws.table(items.mapInArrow(_item_seeds, "item_id long, at long, seed long").withColumnRenamed("at", "item_at"), "seeds")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null").distinct()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    item_type, doc_type = items.schema["item_id"].dataType.simpleString(), texts.schema["doc_id"].dataType.simpleString()
+    margin = max(MARGIN, 2 * span)
+    seeds = ws.table(items.mapInArrow(_item_seeds, f"item_id {item_type}, at long, seed long").withColumnRenamed("at", "item_at"), "seeds")
     bitmap = spark.sparkContext.broadcast(seed_filter(seeds))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    hits = texts.mapInArrow(_hits(bitmap), "doc_id long, start long, near array<long>, at array<long>, seed array<long>")
+    hits = texts.mapInArrow(_hits(bitmap, margin), f"doc_id {doc_type}, start long, near array<long>, at array<long>, seed array<long>")
     hits = ws.table(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
     met = hits.select("row", "doc_id", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("row", "doc_id", "h.at", "h.seed").join(seeds, "seed")
     lines = met.select("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    words = ws.table(items.where("item_id is not null").mapInArrow(_item_words, "item_id long, item array<long>"), "items")
+    words = ws.table(items.mapInArrow(_item_words, f"item_id {item_type}, item array<long>"), "items")
     aligned = lines.join(hits.select("row", "doc_id", "start", "near"), "row").join(words, "item_id").select("doc_id", "item_id", "start", "near", "shift", "item")
-    good = aligned.mapInArrow(_verify(span, agreeing), "doc_id long, item_id long, agreeing long, compared long")
+    good = aligned.mapInArrow(_verify(span, agreeing), f"doc_id {doc_type}, item_id {item_type}, agreeing long, compared long")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("agreeing", "compared")).alias("best")).select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "best.agreeing", "best.compared")
     result = ws.finish(best)
     bitmap.unpersist()

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentmill.llm.components import connected_components
+from contentmill.llm.components import connected_components, smallest_ids
+from contentmill.llm.skew import join_hot
 from contentmill.llm.workspace import Workspace
 
-#: Expected rows of the training sample, most inverted lists, subspaces and codes of each.
+#: Expected rows of the training sample (of all lengths together), most inverted lists of a
+#: length, subspaces and codes of each.
 SAMPLE_ROWS, MOST_LISTS, SUBSPACES, CODES = 20_000, 1024, 8, 64
 #: Rows of one side of a cell.
 SIDE = 1024
@@ -165,29 +167,33 @@ def embedding_near_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     sums and a forest, so a list with any share of the rows is split.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or whose
-    label is null, link with nothing; vectors of different length aren't compared. An id
-    that repeats with the same vector counts once and is returned for each row; a null
-    id gets 0 links and a null component. Other columns are ignored; an empty table gives
-    an empty result.
+    label is null, link with nothing; vectors of different length aren't compared. Ids may
+    have any type that can be compared. An id that repeats with the same vector counts once
+    and is returned for each row; one that repeats with different vectors stands for as
+    many vectors of their own, each row with its own links. A null id gets 0 links and a
+    null component. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "embedding-dedup")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     finite = "id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
     rows = ws.table(rows.withColumn("good", F.coalesce(F.expr(finite), F.lit(False))), "rows")
-    same = rows.where("good").select("id", "v", "label").distinct().groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    reps = ws.table(same.select("rep", "weight", "label", F.size("v").alias("dim"), "v"), "reps")
+    same = rows.where("good").groupBy("label", "v", "id").agg(F.count("*").alias("n")).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.sum("n").alias("rows"))
+    reps = ws.table(same.select(F.monotonically_increasing_id().alias("node"), "id", "weight", "rows", "label", F.size("v").alias("dim"), "v"), "reps")
     sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    steps = 1 << 20
+    steps, drawn = 1 << 20, {}
+    share = min(1.0, sample_rows / max(1, sum(sizes.values())))
+    for row in reps.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(steps)) < F.lit(max(1, int(steps * share)))).select("dim", "v").toLocalIterator():
+        drawn.setdefault(row["dim"], []).append(row["v"])
     models = {}
     for dim, n in sizes.items():
-        some = reps.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(steps)) < max(1, int(steps * min(1.0, sample_rows / n))))).select("v").toArrow()
-        sample = _unit(some.column("v").combine_chunks(), dim) if some.num_rows else np.zeros((0, dim))
-        models[dim] = ProductQuantiser(sample, min(MOST_LISTS, ceil(sqrt(n) / 2)))
+        sample = np.array(drawn.get(dim, []), dtype=float).reshape(-1, dim)
+        sample /= np.sqrt((sample**2).sum(1))[:, None]
+        models[dim] = ProductQuantiser(sample, min(MOST_LISTS, ceil(sqrt(n) / 2), max(1, len(sample))))
     shared = spark.sparkContext.broadcast(models)
 
     reach = slack * sqrt(2 - 2 * cosine)
-    index = reps.select(F.col("rep").alias("id"), "weight", "label", "dim", "v").mapInArrow(_index(shared, reach), "id long, weight long, label string, dim int, list long, home boolean, codes binary, lost double, unit binary")
+    index = reps.select(F.col("node").alias("id"), "weight", "label", "dim", "v").mapInArrow(_index(shared, reach), "id long, weight long, label string, dim int, list long, home boolean, codes binary, lost double, unit binary")
     index = ws.table(index, "index")
     key = ["label", "dim", "list"]
     counts = index.groupBy(*key).agg(F.ceil(F.count("*") / SIDE).alias("qs"), F.ceil(F.count_if("home") / SIDE).alias("ms"))
@@ -196,10 +202,12 @@ def embedding_near_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     members = dealt.where("home").withColumns({"role": F.lit(1), "j": F.pmod(F.xxhash64("id"), "ms"), "i": F.explode(F.expr("sequence(0L, qs - 1)"))})
     cells = queries.unionByName(members).drop("qs", "ms")
     found = ws.table(cells.groupBy(*key, "i", "j").applyInArrow(_cell(shared, cosine), "id long, n long, other long"), "found")
+    ws.release()
     links = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    classes = connected_components(ws, links)
-    counted = found.groupBy("id").agg(F.sum("n").alias("n"))
-    per_rep = reps.select("rep", "weight", "label", "v").join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    per_rep = per_rep.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.where("good").join(per_rep, ["label", "v"]).select("id", "links", "component").unionByName(rows.where("not good").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
+    least = smallest_ids(ws, connected_components(ws, links), reps)
+    counted = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
+    per_rep = reps.join(counted, "node", "left").join(least, "node", "left")
+    per_rep = per_rep.select("label", "v", "rows", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("smallest", "id").alias("component"))
+    linked = join_hot(rows.where("good"), ws.table(per_rep, "per-rep"), ["label", "v"], "rows").select("id", "links", "component")
+    out = linked.unionByName(rows.where("not good").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
     return ws.finish(out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")))

@@ -10,8 +10,9 @@ from pyspark.sql import Window
 
 from contentmill.llm.workspace import Workspace
 
-#: Blocks of a source; they bound the rows that are put in order together.
-BLOCKS = 4096
+#: Least blocks of a source, and the rows of all sources for each block beyond that; blocks
+#: bound the rows that are put in order together.
+BLOCKS, BLOCK_ROWS = 4096, 65_536
 #: Halvings of the exponent's interval done by one aggregation, and aggregations.
 HALVINGS, ROUNDS = 8, 4
 
@@ -86,8 +87,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ws = Workspace(docs.sparkSession, "mixing")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col).cast("string")).alias("tokens"))
     key = F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit("")))
-    rows = rows.withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(BLOCKS)))
-    rows = ws.table(rows, "rows")
+    rows = ws.table(rows.withColumn("key", key), "rows")
+    count = max(BLOCKS, rows.count() // BLOCK_ROWS)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "tokens", F.lit(seed)), F.lit(count)))
     blocks = ws.table(rows.groupBy("key", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
     sources = ws.table(blocks.groupBy("key").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -104,7 +106,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # The last pass: blocks in order until the rest is used up.
     drawn = Window.partitionBy("key").orderBy(order("block", F.col("passes")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dealt = blocks.join(plan, "key").withColumn("up_to", F.sum("tokens").over(drawn))
-    dealt = dealt.select("key", "block", "weight", "passes", (F.col("rest") - F.col("up_to") + F.col("tokens")).alias("left"), (F.col("up_to") <= F.col("rest")).alias("whole"))
+    dealt = dealt.select("key", "block", "weight", "passes", (F.col("rest") - F.col("up_to") + F.col("tokens")).alias("left"), (F.expr("up_to <= rest and rest > 0")).alias("whole"))
     dealt = dealt.withColumn("split", ~F.col("whole") & (F.col("left") > 0))
     placed = rows.join(dealt, ["key", "block"])
     within = Window.partitionBy("key", "block").orderBy(order("id", F.col("passes")), "id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -126,6 +126,11 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row of each id; of different texts under one id, the one with the least statistics."""
+    return rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("r")).select("id", "r.y", "r.x")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fits on a sample of labelled documents whose crc32(id as text) mod 5 isn't 0.
 
@@ -133,14 +138,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
     however large the tables are. An id with several labels counts as 1 from a mean of 0.5.
     """
     ws = Workspace(docs.sparkSession, "quality")
-    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null and crc32(cast(id as string)) % 5 <> 0")
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null and crc32(cast(id as string)) % 5 <> 0")
     usable = ws.table(usable.groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y")), "labels")
     n = usable.count()
     steps = 1 << 20
     sample = usable.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(steps)) < int(steps * min(1.0, sample_rows / max(n, 1))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    rows = ws.table(texts.mapInArrow(_measure, "id long, y double, x array<double>"), "rows")
-    rows = rows.dropDuplicates(["id"]).coalesce(16)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    rows = ws.table(texts.mapInArrow(_measure, f"id {texts.schema['id'].dataType.simpleString()}, y double, x array<double>"), "rows")
+    rows = _one_each(rows).coalesce(16)
     held = "pmod(xxhash64(id, 7), 4) = 0"
     stats = rows.agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(STATISTICS)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(STATISTICS)]).first()
     count, ones = stats["n"], stats["ones"] or 0.0
@@ -184,9 +189,9 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
             for block in blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[block.first : block.last], pa.array(model.score(statistics(block)))], ["id", "score"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
-    return texts.mapInArrow(run, "id long, score double").select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, score double").select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

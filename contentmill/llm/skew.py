@@ -18,7 +18,9 @@ def join_hot(many: DataFrame, few: DataFrame, keys: Sequence[str], rows: str, ho
     ``HOT_SHARE`` by their definition, are broadcast, and their rows stay where they are;
     the others are shuffled, and no task gets more than its part of them.
     """
-    total = few.agg(F.sum(rows)).first()[0] or 0
+    total, most = few.agg(F.sum(rows), F.max(rows)).first()
+    if not total or most * HOT_SHARE <= total:
+        return many.join(few, list(keys), how)
     hot = few.where(F.col(rows) * HOT_SHARE > total)
     at_once = many.join(F.broadcast(hot), list(keys))
     rest = many.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(few.where(F.col(rows) * HOT_SHARE <= total), list(keys), how)

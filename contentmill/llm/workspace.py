@@ -45,6 +45,9 @@ class Workspace:
         self.kept.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def table_of(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def finish(self, df: DataFrame) -> DataFrame:
         out = self.table(df, "result")
         self.drop(*[name for name in self.kept if name != "result"])

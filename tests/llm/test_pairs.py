@@ -55,10 +55,12 @@ def corpus(seed=1):
     return list(enumerate(joined, 3))
 
 
-@pytest.mark.parametrize(("k", "num", "den", "light"), [(3, 90, 100, 48), (5, 80, 100, 4)])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, k, num, den, light):
+@pytest.mark.parametrize(("k", "num", "den", "light", "frequent"), [(3, 90, 100, 48, 65_536), (5, 80, 100, 4, 65_536), (2, 70, 100, 4, 0), (3, 1, 1, 4, 20)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, k, num, den, light, frequent):
     monkeypatch.setattr(ngram_join, "LIGHT", light)
     monkeypatch.setattr(ngram_join, "SIDE", 16)
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "ORDER_SAMPLE", 1 if frequent == 20 else 8)
     texts = corpus(k)
     docs = spark.createDataFrame([(i, t, i, "clash") for i, t in texts], "doc_id long, text string, n long, id string").repartition(5)
     out = ngram_join.ngram_jaccard_join(docs, k=k, num=num, den=den)
@@ -66,6 +68,19 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, k, num, den, light):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts, k, num, den)
 
 
+def test_templates_that_link_nothing(spark, monkeypatch):
+    """A passage that fills two thirds of many documents makes a heavy column, but its n-grams
+    stand late in all of them."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 8)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(40)] + passage)) for i in range(60)]
+    texts += [(100 + i, t + " end") for i, t in texts[:3]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = ngram_join.ngram_jaccard_join(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts, 5, 80, 100)
+
+
 def test_ngram_join_edges(spark):
     schema = "doc_id long, text string"
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], schema)).count() == 0
@@ -84,7 +99,10 @@ def test_components(spark):
     assert all(got.get(i, i) == c for i, c in expected.items())
 
 
-def test_embeddings_equal_brute_force(spark):
+@pytest.mark.parametrize(("side", "lists"), [(1024, 1024), (16, 1024), (1024, 1), (40, 5)])
+def test_embeddings_equal_brute_force(spark, monkeypatch, side, lists):
+    monkeypatch.setattr(embedding_dedup, "SIDE", side)
+    monkeypatch.setattr(embedding_dedup, "MOST_LISTS", lists)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 24))
     x[300:420] = x[5] + 0.12 * rng.normal(size=(120, 24))  # a large group, by far not all of it linked

@@ -5,13 +5,18 @@ import html
 import math
 import random
 import re
+import struct
 import time
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from contentmill.llm import decontaminate, html_text, licenses, mixing, pii, quality, secrets, spans, url_filter
+from contentmill.llm.hashing import blocks
 from contentmill.llm.queries import URL_RULES
 from contentmill.llm.workspace import Workspace
 
@@ -572,3 +577,105 @@ def test_token_count(spark):
     texts = [None, "", " ", "a", " a\tb \n", "a\u00a0b c", "x\x1cy"]
     got = [r[0] for r in table(spark, texts).orderBy("doc_id").select(mixing.token_count(F.col("text"))).collect()]
     assert got == [0, 0, 0, 1, 2, 2, 1]
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs and strings."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v), seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_mixing_equals_brute_force(spark):
+    rng = random.Random(12)
+    data = [(i, "w " * rng.randrange(0, 30), rng.choice(["big"] * 6 + ["mid", "mid", "small", None])) for i in range(700)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    target, limit, seed = 0.93, 2.5, np.int32(17)
+    out = {(r.doc_id, r["pass"]): r for r in mixing.mix_sources(docs, entropy=target, repeats=limit).collect()}
+    tokens = {i: len(t.split()) for i, t, _ in data}
+    key = {i: "n" if s is None else f"s{s}" for i, _, s in data}
+    size = {}
+    for i, k in key.items():
+        size[k] = size.get(k, 0) + tokens[i]
+    total = sum(size.values())
+    p = np.array([size[k] / total for k in sorted(size)])
+    # The exponent on a dense grid: highest with enough entropy, but not below the lowest without too much repetition.
+    grid = np.linspace(0, 1, 200_001)[:, None]
+    w = p[None, :] ** grid
+    w /= w.sum(1, keepdims=True)
+    entropy = -(w * np.log(w)).sum(1) / np.log(len(p))
+    enough, spare = entropy >= target - 1e-12, (w / p[None, :]).max(1) <= limit * (1 + 1e-12)
+    best = max(grid[enough, 0].max(), grid[spare, 0].min())
+    weight = {k: x for k, x in zip(sorted(size), p**best / (p**best).sum(), strict=True)}
+    assert all(math.isclose(r.weight, weight[key[i]], rel_tol=1e-4) for (i, _), r in out.items())
+    # Exactly these rows, in this order, under the weights found.
+    weight = {key[i]: r.weight for (i, _), r in out.items()}
+    expected = {}
+    for k in size:
+        want = math.floor(weight[k] * total + 1e-6)
+        passes, left = divmod(want, size[k])
+        own = sorted(i for i in key if key[i] == k)
+        block = {i: spark_hash(i, tokens[i], seed) % mixing.BLOCKS for i in own}
+        for n in range(passes):
+            expected |= {(i, n): (spark_hash(seed, n, k, block[i]), spark_hash(seed, n, k, i)) for i in own}
+        for b in sorted(set(block.values()), key=lambda b: (spark_hash(seed, passes, k, b), b)):
+            held = [i for i in own if block[i] == b]
+            need = sum(tokens[i] for i in held)
+            if not left or need > left:
+                at = 0
+                for i in sorted(held, key=lambda i: (spark_hash(seed, passes, k, i), i)):
+                    at += tokens[i]
+                    if left and at <= left:
+                        expected[i, passes] = (spark_hash(seed, passes, k, b), spark_hash(seed, passes, k, i))
+                break
+            left -= need
+            expected |= {(i, passes): (spark_hash(seed, passes, k, b), spark_hash(seed, passes, k, i)) for i in held}
+    assert {x: (r.block_order, r.doc_order) for x, r in out.items()} == expected
+
+
+def test_decontamination_equals_comparing_all_windows(spark):
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.choice((5, 6, 8, 12, 20, 25, 60)))] for i in range(12)}
+    docs = {}
+    for d in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 80))]
+        if rng.random() < 0.8:
+            item = items[rng.randrange(12)]
+            a = rng.randrange(len(item))
+            part = [w if rng.random() > rng.choice((0, 0, 0.1, 0.25)) else rng.choice(vocabulary) for w in item[a if rng.random() < 0.4 else 0 :][: rng.choice((6, 12, 18, 60))]]
+            at = rng.choice((0, len(words), len(words) // 2))
+            words[at:at] = part
+        docs[d] = words
+    expected = {}
+    for d, x in docs.items():
+        for i, y in items.items():
+            size, best = min(len(y), 20), 0
+            for shift in range(-len(y) + 1, len(x)):
+                equal = [0 <= shift + j < len(x) and x[shift + j] == y[j] for j in range(len(y))]
+                best = max(best, *(sum(equal[j : j + size]) for j in range(len(y) - size + 1)))
+            if best >= max(min(size, 5), 0.8 * size):
+                expected[d, i] = (best, size)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.agreeing, r.compared) for r in decontaminate.contaminated(table(spark, [" ".join(docs[d]) for d in range(200)]), bench).collect()}
+    assert got == expected and len(expected) > 60
+
+
+def test_quality_equals_normal_equations(spark):
+    d = "/root/testdata/sf0.001"
+    labels = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    measure = lambda t: quality.statistics(next(blocks(pa.array([t or ""]))))[0]
+    ids = sorted(i for i in labels if i in docs)
+    x, y = np.array([measure(docs[i]) for i in ids]), np.array([labels[i] for i in ids])
+    model = quality.QualityModel(0.5, x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    held = np.array([spark_hash(i, np.int32(7)) % 4 == 0 for i in ids])
+    z = model.features(x)
+    model.weights = np.linalg.solve(z[~held].T @ z[~held] + quality.RIDGE * max(1.0, len(ids) / 1000) * np.eye(z.shape[1]), z[~held].T @ (2 * y[~held] - 1))
+    model.knots = quality.isotonic(model.raw(x[held]), y[held])
+    got = {r.doc_id: r.score for r in quality.classify_quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    assert got.keys() == docs.keys()
+    for i, t in docs.items():
+        assert abs(got[i] - model.score(measure(t)[None, :])[0]) < 1e-6
