@@ -6,7 +6,7 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contentmill.llm.decontaminate import decontaminate
@@ -25,10 +25,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; of
-    rows that repeat an id one stays. Rows without an id aren't grouped and stay."""
-    kept = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows are told apart by id and text, so an id that repeats with different texts stands
+    for as many documents; of equal rows of an id one stays. Texts without words aren't
+    grouped, nor are rows without an id: those all stay.
+    """
+    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
+    found = ngram_jaccard_join(named.select(F.struct("doc_id", "_text").alias("doc"), "text"), id_col="doc")
+    kept = found.where("n_shingles = 0 or doc = component_id").select("doc.doc_id", "doc._text").distinct()
+    order = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
+    one = named.join(kept, ["doc_id", "_text"], "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
     return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -66,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for name, stage in STAGES:
         docs = ws.table(stage(spark, docs, sf_dir), name)
+        ws.release()
         if before:
             ws.drop(before)
         before = name
