@@ -6,6 +6,7 @@ letter case of non-ASCII text matter.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping
 
@@ -66,6 +67,12 @@ def fold(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", " "))
 
 
+def fold_text(s: str) -> str:
+    """As ``fold``, for one string."""
+    plain = s.translate(str.maketrans(_ACCENTED + "ºª", _PLAIN + "oa"))
+    return re.sub("[^a-z0-9]+", " ", re.sub(r"[^\x00-\x7f]", "", plain).lower()).strip(" ")
+
+
 def _fold_series(s: pd.Series) -> pd.Series:
     plain = s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())
     return plain.str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
@@ -157,7 +164,7 @@ def answer_key(form: Column, raw: Column, options: Column, *, whole_first: bool
 def option_map(block: Column, *, bracketed: bool = False) -> Column:
     """Options from at least three line-start markers ``X)``; the last of a repeated letter wins; else null."""
     mark = r"\(?[A-E]\)" if bracketed else r"[A-E]\)"
-    parts = F.filter(F.split(block, rf"(?m)(?=^{mark})"), lambda p: p.rlike(rf"^{mark}"))
+    parts = F.filter(F.split(block, rf"(?md)(?=^{mark})"), lambda p: p.rlike(rf"^{mark}"))
     entries = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, "([A-E])", 1).alias("key"), squeeze(F.regexp_replace(p, rf"(?U)^{mark}\s*", "")).alias("value")))
     letters = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = F.transform(letters, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
@@ -169,7 +176,7 @@ def stem_and_form(block: Column, *, bracketed: bool = False) -> Column:
     mark = r"\(?[A-E]\)" if bracketed else r"[A-E]\)"
     box = r"(?iU)\(\s*\)\s*Certo"
     form = F.when(option_map(block, bracketed=bracketed).isNotNull(), "abcde").when(block.rlike(box), "certo_errado")
-    stem = F.when(form == "abcde", F.get(F.split(block, rf"(?m)^{mark}", 2), F.lit(0))).when(form == "certo_errado", F.get(F.split(block, box, 2), F.lit(0))).otherwise(block)
+    stem = F.when(form == "abcde", F.get(F.split(block, rf"(?md)^{mark}", 2), F.lit(0))).when(form == "certo_errado", F.get(F.split(block, box, 2), F.lit(0))).otherwise(block)
     return F.struct(squeeze(stem).alias("stem"), form.alias("form"))
 
 
@@ -207,7 +214,7 @@ def subject_of_book(name: Column, exam: Column) -> Column:
 
 def remap_letters(s: Column, new_letters: Column) -> Column:
     """Letter references rewritten all at once by a map of old to new upper-case letters."""
-    private = ""
+    private = "\ue000\ue001\ue002\ue003\ue004"
     out = s
     for letter, mark in zip("ABCDE", private, strict=True):
         own = LETTER_REFERENCE.replace("[A-Ea-e]", f"[{letter}{letter.lower()}]")

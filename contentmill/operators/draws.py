@@ -23,7 +23,7 @@ def candidates(df: DataFrame, used: str, key: str) -> DataFrame:
 
 def draw(df: DataFrame, quantity: int, used: str, key: str) -> DataFrame:
     """The first ``quantity`` rows by reuse priority, or ``ShortStock``; nothing is changed."""
-    have = df.limit(quantity).count()
+    have = df.limit(quantity).count()  # a limit reads no more than it needs
     if have < quantity:
         raise ShortStock(f"{quantity} asked for, {have} in stock")
     return df.orderBy(*reuse_order(used, key)).limit(quantity)
@@ -40,22 +40,50 @@ def draw_stratified(df: DataFrame, quotas: DataFrame, stratum: str, used: str, k
 
     ``quotas`` has the stratum, ``quantity`` and ``position`` (the order of strata). Adds
     ``rank`` within the stratum. ``largest`` (no quota exceeds it) lets Spark drop rows
-    before the shuffle that ranks them.
+    before the shuffle that ranks them. The stock is read once: strata are short if fewer
+    rows than asked for were ranked.
     """
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*reuse_order(used, key)))
     ranked = df.join(quotas, stratum).withColumn("rank", rank)
     if largest is not None:
         ranked = ranked.where(F.col("rank") <= largest)
-    short = shortages(df, quotas, stratum).select(F.lit(1).alias("_short")).limit(1)
     taken = ranked.where(F.col("rank") <= F.col("quantity"))
-    return taken.join(F.broadcast(short), F.lit(True), "left_anti").orderBy("position", "rank")
+    asked = quotas.agg(F.sum("quantity").alias("_asked"))
+    # What is drawn is as small as the quotas; a window over it counts what there is.
+    counted = taken.withColumn("_drawn", F.count("*").over(Window.partitionBy(F.lit(1))))
+    return counted.join(F.broadcast(asked), F.col("_drawn") == F.col("_asked")).drop("_drawn", "_asked").orderBy("position", "rank")
+
+
+def numbered(df: DataFrame, order: str, out: str, *, piece: int = 100_000) -> DataFrame:
+    """Rows numbered from 1 by ``order`` (values that don't repeat), no task numbering many more than ``piece``.
+
+    Rows are dealt to stretches of the order, between values that a hash picks; a stretch
+    is numbered by itself, from where the counts of those before it end.
+    """
+    total = df.count()
+    pieces = min(1024, -(-total // piece))
+    borders = []
+    if pieces > 1:
+        every = max(1, total // (32 * pieces))
+        picked = [r[0] for r in df.where(F.pmod(F.xxhash64(order, F.lit(5)), F.lit(every)) == 0).select(order).orderBy(order).collect()]
+        borders = picked[:: max(1, len(picked) // pieces)][1:]
+    kind = df.schema[order].dataType
+    stretch = F.size(F.filter(F.lit(borders).cast(f"array<{kind.simpleString()}>"), lambda b: b <= F.col(order))) if borders else F.lit(0)
+    dealt = df.withColumn("_stretch", stretch)
+    sizes, starts, at = {r[0]: r[1] for r in dealt.groupBy("_stretch").count().collect()}, [], 0
+    for i in range(len(borders) + 1):
+        starts.append(at)
+        at += sizes.get(i, 0)
+    number = F.row_number().over(Window.partitionBy("_stretch").orderBy(order)) + F.element_at(F.lit(starts).cast("array<long>"), F.col("_stretch") + 1)
+    return dealt.withColumn(out, number.cast("long")).drop("_stretch")
 
 
 def round_robin(items: DataFrame, order: str, quantity: int) -> DataFrame:
     """``quantity`` rows: place i gets the item of rank i modulo the number of items."""
-    listed = items.select(F.row_number().over(Window.orderBy(order)).alias("_r"), "*").withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    first = items.orderBy(order).limit(quantity)  # no more are ever used
+    listed = first.select(F.row_number().over(Window.orderBy(order)).alias("_r"), "*").join(F.broadcast(items.agg(F.count("*").alias("_n"))), F.lit(True))
     turns = F.sequence(F.col("_r") - 1, F.lit(quantity - 1), F.col("_n").cast("int"))
-    return listed.where(F.col("_r") <= quantity).withColumn("i", F.explode(turns)).drop("_r", "_n")
+    return listed.withColumn("i", F.explode(turns)).drop("_r", "_n")
 
 
 def newest(df: DataFrame, key: str, limit: int = 8) -> DataFrame:

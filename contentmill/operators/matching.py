@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentmill.functions.text import fold, names_match, quotation_key, tokens
+from contentmill.operators.anchors import contained
 
 #: Characters that block two names for a fuzzy join: matching tokens share their first ones.
 BLOCK_CHARS = 2
@@ -50,12 +52,16 @@ def inside_item(probes: DataFrame, starts: DataFrame, ends: DataFrame, by: Seque
 def first_interval(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, *, start: str, end: str, order: str, value: str) -> DataFrame:
     """Each point with the value of the first span (by ``order``) that holds it, ends included; else null.
 
-    An empty value counts as null, but still ends the search.
+    An empty value counts as null, but still ends the search. Equal points are looked up once.
     """
-    keyed = points.withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.select("_row", *by, at).join(spans.select(*by, start, end, order, value), list(by)).where(F.col(at).between(F.col(start), F.col(end)))
-    first = hits.groupBy("_row").agg(F.min_by(F.col(value), F.col(order)).alias(value))
-    return keyed.join(first, "_row", "left").withColumn(value, F.nullif(F.col(value).cast("string"), F.lit(""))).drop("_row")
+    different = points.groupBy(*points.columns).agg(F.count("*").alias("_copies"))
+    side = spans.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(order).alias("_order"), F.col(value).alias("_value"))
+    here = F.col(at).between(F.col("_start"), F.col("_end"))
+    for i, c in enumerate(by):
+        here = here & (F.col(c) == F.col(f"_by{i}"))
+    first = different.join(side, here, "left").groupBy(*points.columns, "_copies").agg(F.min_by(F.struct("_value"), "_order").alias("_first"))
+    found = F.nullif(F.col("_first._value").cast("string"), F.lit(""))
+    return first.select(*points.columns, found.alias(value), F.explode(F.expr("sequence(1L, _copies)"))).drop("col")
 
 
 def _blocked(names: DataFrame, column: str) -> DataFrame:
@@ -109,20 +115,34 @@ def zip_mismatches(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Data
 def common_subsequence(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Index pairs of one longest common subsequence.
 
-    From the start, equal items pair when that loses no length; otherwise the left side
-    advances unless only advancing the right keeps the length.
+    From the start, equal items pair; otherwise the left side advances unless only
+    advancing the right keeps the length.
+
+    For each suffix of ``a``, ``reach`` holds how far right in ``b`` a common subsequence of
+    1, 2, ... items can begin (negated, so ascending); one item changes few entries, found
+    by bisection over the positions of that item in ``b``.
     """
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            best[i][j] = 1 + best[i + 1][j + 1] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    pairs = []
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == 1 + best[i + 1][j + 1]:
+    positions: dict = {}
+    for j, item in enumerate(b):
+        positions.setdefault(item, []).append(j)
+    reach: list[list[int]] = [[]]
+    for item in reversed(a):
+        row = list(reach[-1])
+        for j in positions.get(item, ()):
+            k = bisect_left(row, -j)
+            row[k : k + 1] = [-j]
+        reach.append(row)
+    reach.reverse()
+
+    def length(i: int, j: int) -> int:
+        return bisect_right(reach[i], -j)
+
+    pairs, i, j = [], 0, 0
+    while length(i, j):
+        if a[i] == b[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif length(i + 1, j) == length(i, j):
             i += 1
         else:
             j += 1
@@ -168,8 +188,7 @@ def contains_all(passage: Column, pieces: Column) -> Column:
 
 
 def literal_matches(passages: DataFrame, passage_col: str, quotes: DataFrame, quote_col: str) -> DataFrame:
-    """Pairs of passages and quotations held literally. The quotations are a small stated set
-    against all passages; beyond the optimiser's broadcast size they are streamed in blocks."""
+    """Pairs of passages and quotations held literally, both as quotation keys."""
     p = passages.withColumn("_passage", quotation_key(F.col(passage_col)))
-    q = quotes.withColumn("_quote", quotation_key(F.col(quote_col))).where("_quote <> ''")
-    return p.join(q, F.contains(F.col("_passage"), F.col("_quote"))).drop("_passage", "_quote")
+    q = quotes.withColumn("_quote", quotation_key(F.col(quote_col)))
+    return contained(p, "_passage", q, "_quote").drop("_passage", "_quote")

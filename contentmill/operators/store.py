@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contentmill.functions.naming import subject_name
 from contentmill.functions.text import needs_image
+from contentmill.operators.draws import numbered
 
 DECISIONS = ("aprovada", "rejeitada")
 CURATED_ORIGINS = ("banco_real", "simulado_migrado")
@@ -50,9 +51,13 @@ def insert_strict(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> Dat
     return new
 
 
-def update_by_key(stored: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``stored`` with ``columns`` taken from the change of the same key, and ``matched``. A null overwrites."""
-    new = changes.select(*keys, F.struct(*columns).alias("_new")).dropDuplicates(list(keys))
+def update_by_key(stored: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | Column | None = None) -> DataFrame:
+    """``stored`` with ``columns`` taken from the change of the same key, and ``matched``. A null overwrites.
+
+    Of changes of one key the last by ``order`` counts; without one, the last as they are read.
+    """
+    last = F.monotonically_increasing_id() if order is None else F.col(order) if isinstance(order, str) else order
+    new = changes.select(*keys, F.struct(*columns).alias("_new"), last.alias("_order")).groupBy(*keys).agg(F.max_by("_new", "_order").alias("_new"))
     joined = stored.join(new, list(keys), "left")
     hit = F.col("_new").isNotNull()
     return joined.withColumns({c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}).withColumn("matched", hit).drop("_new")
@@ -121,4 +126,4 @@ def invalid_rows(df: DataFrame, required: Sequence[str], allowed: dict[str, Sequ
 def next_ids(stored: DataFrame, rows: DataFrame, order: str, key: str = "id") -> DataFrame:
     """``rows`` with ids that follow the highest stored one, in ``order``, without gaps."""
     top = stored.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))
-    return rows.withColumn("_n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top), F.lit(True)).withColumn(key, F.col("_top") + F.col("_n")).drop("_n", "_top")
+    return numbered(rows, order, "_n").join(F.broadcast(top), F.lit(True)).withColumn(key, F.col("_top") + F.col("_n")).drop("_n", "_top")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentmill import schemas
-from contentmill.functions.naming import exam_code, subject_name
+from contentmill.functions.naming import exam_code_of, subject_name, subject_name_of
 from contentmill.functions.text import content_hash, filled
 from contentmill.operators import catalog, draws, generation, matching, parsing, store
 from contentmill.sources import files
@@ -24,25 +24,30 @@ class Bank:
 
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)):
         self.spark, self.root, self.now = spark, root, now
+        self._seen: dict[str, int] = {}
         self.staging = files.Staging(spark, f"{root}/staged")
 
     @property
     def questions(self) -> DataFrame:
-        return files.read_latest(self.spark, f"{self.root}/questoes", schemas.QUESTIONS)
+        return self._read("questoes", schemas.QUESTIONS)
 
     @property
     def passages(self) -> DataFrame:
-        return files.read_latest(self.spark, f"{self.root}/material_fonte", schemas.PASSAGES)
+        return self._read("material_fonte", schemas.PASSAGES)
 
     def _stamp(self) -> Column:
         return F.lit(self.now()).cast("timestamp")
 
-    def _exam(self, exam: str | None) -> str | None:
-        """The code of an exam's name."""
-        return self.spark.range(1).select(exam_code(F.lit(exam).cast("string"))).first()[0] if exam else exam
+    def _replace(self, df: DataFrame, name: str) -> DataFrame:
+        """A new version of a table, computed from the one that was last read here."""
+        return files.replace_table(df, f"{self.root}/{name}", based_on=self._seen.pop(name, None))
 
-    def _subject(self, subject: str | None) -> str | None:
-        return self.spark.range(1).select(subject_name(F.lit(subject).cast("string"))).first()[0] if subject else subject
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return files.replace_table(df, f"{self.root}/{name}")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        self._seen[name] = files.version(self.spark, f"{self.root}/{name}")
+        return files.read_latest(self.spark, f"{self.root}/{name}", schema)
 
     # Catalog
 
@@ -54,12 +59,12 @@ class Bank:
         return catalog.distinct_sorted(self._approved(exam), "materia")
 
     def subjects_to_generate(self, exam: str) -> DataFrame:
-        code = self._exam(exam)
+        code = exam_code_of(exam)
         return catalog.names_to_generate(self.passages.where(F.col("concurso") == code), self._bank_comments(code), "materia")
 
     def topics(self, exam: str) -> DataFrame:
         """Topics of the books in book order, then those of bank questions whose subject no book covers."""
-        code = self._exam(exam)
+        code = exam_code_of(exam)
         books = self.passages.where(F.col("concurso") == code)
         bank = matching.fuzzy_anti(self._bank_comments(code).where(filled(F.col("tema"))), "materia", books, "materia")
         book_order = books.withColumn("ordem", F.coalesce(F.col("ordem").cast("long"), F.lit(0).cast("long")))
@@ -70,7 +75,7 @@ class Bank:
         return q.where(F.col("concurso") == code) if code else q
 
     def sources(self, exam: str | None = None, subject: str | None = None) -> DataFrame:
-        df = catalog.where_given(self.passages, equal={"concurso": exam}, same={"materia": self._subject(subject)})
+        df = catalog.where_given(self.passages, equal={"concurso": exam}, same={"materia": subject_name_of(subject)})
         return catalog.listing(df, ["concurso", "materia", F.coalesce("ordem", F.lit(0)), "id"], sizes={"trecho": "tamanho_trecho"})
 
     def source(self, key: int) -> DataFrame:
@@ -80,22 +85,22 @@ class Bank:
         return found
 
     def curated(self, exam: str | None = None, subject: str | None = None, origin: str | None = None, status: str | None = None) -> DataFrame:
-        df = catalog.where_given(self.questions, equal={"concurso": exam, "origem": origin, "status": status}, same={"materia": self._subject(subject)}, among={"origem": store.CURATED_ORIGINS})
+        df = catalog.where_given(self.questions, equal={"concurso": exam, "origem": origin, "status": status}, same={"materia": subject_name_of(subject)}, among={"origem": store.CURATED_ORIGINS})
         return catalog.listing(df, ["concurso", "materia", "id"], short={"enunciado": 200})
 
     def example(self, exam: str, subject: str, form: str | None = None) -> DataFrame:
         """One approved bank question of the subject and form, to calibrate on."""
-        q = catalog.where_given(self._bank_comments(self._exam(exam)), equal={"formato": form}, same={"materia": self._subject(subject)})
+        q = catalog.where_given(self._bank_comments(exam_code_of(exam)), equal={"formato": form}, same={"materia": subject_name_of(subject)})
         return draws.any_one(q, "id")
 
     def existing_stems(self, exam: str, subject: str, topic: str, origin: str) -> DataFrame:
-        q = self.questions.where((F.col("concurso") == self._exam(exam)) & (F.col("materia") == subject) & (F.col("tema") == topic) & (F.col("origem") == origin))
+        q = self.questions.where((F.col("concurso") == exam_code_of(exam)) & (F.col("materia") == subject) & (F.col("tema") == topic) & (F.col("origem") == origin))
         return catalog.newest_block(q, ["concurso"], "id", "enunciado")
 
     def passage_for(self, subject: str, topic: str, exam: str | None = None, seed: int = 0) -> DataFrame:
         """The passage of a topic, else an approved bank question's comment, by a seeded pick."""
-        name = self._subject(subject)
-        same = lambda df: catalog.where_given(df, equal={"concurso": self._exam(exam)}, same={"materia": name, "tema": topic})
+        name = subject_name_of(subject)
+        same = lambda df: catalog.where_given(df, equal={"concurso": exam_code_of(exam)}, same={"materia": name, "tema": topic})
         book = same(self.passages).select("concurso", "materia", "tema", "id", "trecho").orderBy("id").limit(1)
         bank = draws.any_by_seed(same(self._bank_comments(None)).select("concurso", "materia", "tema", "id", F.col("comentario").alias("trecho")), "id", seed)
         found = matching.first_tier([book.withColumn("one", F.lit(1)), bank.withColumn("one", F.lit(1))], ["one"], "id").drop("one")
@@ -107,14 +112,14 @@ class Bank:
 
     def _approved(self, exam: str, subject: str | None = None, form: str | None = None) -> DataFrame:
         q = self.questions.where("status = 'aprovada'")
-        return catalog.where_given(q, equal={"formato": form}, same={"concurso": self._exam(exam), "materia": self._subject(subject)})
+        return catalog.where_given(q, equal={"formato": form}, same={"concurso": exam_code_of(exam), "materia": subject_name_of(subject)})
 
     def draw(self, exam: str, quantity: int, form: str | None = None) -> DataFrame:
         """Draws by reuse priority and stamps the use; ``ShortStock`` changes nothing."""
         return self._use(draws.draw(self._approved(exam, form=form), quantity, "usada_em", "id"))
 
     def draw_stratified(self, exam: str, distribution: Mapping[str, int], form: str | None = None) -> DataFrame:
-        asked = self.spark.createDataFrame([(self._subject(s), s, n, i) for i, (s, n) in enumerate(distribution.items())], "materia string, pedida string, quantity int, position int")
+        asked = self.spark.createDataFrame([(subject_name_of(s), s, n, i) for i, (s, n) in enumerate(distribution.items())], "materia string, pedida string, quantity int, position int")
         stock, quotas = self._approved(exam, form=form), asked.select("materia", "quantity", "position")
         short = draws.shortages(stock, quotas, "materia").orderBy("materia").collect()
         if short:
@@ -124,7 +129,7 @@ class Bank:
 
     def _use(self, drawn: DataFrame) -> DataFrame:
         drawn = files.replace_table(drawn, f"{self.root}/draws")
-        files.replace_table(store.append_use(self.questions, drawn, "id", "usada_em", self._stamp()), f"{self.root}/questoes")
+        self._replace(store.append_use(self.questions, drawn, "id", "usada_em", self._stamp()), "questoes")
         order = ["position", "rank"] if "position" in drawn.columns else draws.reuse_order("usada_em", "id")
         return drawn.orderBy(*order)
 
@@ -137,10 +142,9 @@ class Bank:
         fresh = store.new_rows(placed, stored, keys, "_place")
         fresh = store.next_ids(stored, fresh.drop("id"), "_place").drop("_place")
         fresh = fresh.withColumns({c: v for c, v in defaults.items() if c not in fresh.columns} | {"created_at": self._stamp()})
-        table = stored.unionByName(fresh.select(*[c for c in stored.columns if c in fresh.columns]), allowMissingColumns=True)
-        before = stored.count()
-        after = files.replace_table(table, f"{self.root}/{name}").count()
-        return after - before, placed.count() - (after - before)
+        fresh = stored.limit(0).unionByName(fresh.select(*[c for c in stored.columns if c in fresh.columns]), allowMissingColumns=True)
+        inserted = files.append_rows(fresh, f"{self.root}/{name}", based_on=self._seen.pop(name, None)).count()
+        return inserted, placed.count() - inserted
 
     def add_questions(self, rows: DataFrame) -> tuple[int, int]:
         """Curated questions: subject in its one name, status from whether an image is needed."""
@@ -166,12 +170,12 @@ class Bank:
     def _delete(self, name: str, parts: tuple[DataFrame, DataFrame]) -> DataFrame:
         kept, gone = parts
         gone = files.replace_table(gone, f"{self.root}/deleted_{name}")
-        files.replace_table(kept, f"{self.root}/{name}")
+        self._replace(kept, name)
         return gone
 
     def review(self, key: int, decision: str, reviewer: str | None = None, reason: str | None = None) -> DataFrame:
         told = self.spark.createDataFrame([(key, decision, reviewer, reason)], "id long, decision string, reviewer string, reason string")
-        done = files.replace_table(store.review(self.questions, told, at=self._stamp()), f"{self.root}/questoes")
+        done = self._replace(store.review(self.questions, told, at=self._stamp()), "questoes")
         return done.where(F.col("id") == key)
 
     # Intake of documents
@@ -192,12 +196,16 @@ class Bank:
     # Generation
 
     def generate(self, exam: str, quantity: int, generator: generation.Seam, *, product: str = "mestre_questoes", form: str | None = None, subject: str | None = None, verifier: generation.Seam | None = None) -> DataFrame:
-        """Judged drafts for topics in turn; the generator makes drafts of requests (i, materia, tema)."""
+        """Judged drafts for topics in turn; the generator makes drafts of requests (i, materia, tema).
+
+        A topic whose generation fails is a row with ``error``; the others go on.
+        """
         kind, form = generation.product_format(product, form)
         topics = self.topics(exam).withColumn("_place", F.monotonically_increasing_id())
-        requests = generation.plan_batch(topics, quantity, "_place", subject).select("i", "materia", "tema", F.lit(self._exam(exam)).alias("concurso"), F.lit(form).cast("string").alias("formato"))
+        requests = generation.plan_batch(topics, quantity, "_place", subject).select("i", "materia", "tema", F.lit(exam_code_of(exam)).alias("concurso"), F.lit(form).cast("string").alias("formato"))
         requests = files.replace_table(requests, f"{self.root}/requests")
-        return generation.judge_drafts(generation.generate_twice(requests, generator), kind, verifier)
+        drafts = generation.generate_twice(requests, generator, self._keep)
+        return generation.judge_drafts(drafts, kind, self._keep, verifier)
 
 
 #: The tools that a chat may call by name, each with the names of its arguments.

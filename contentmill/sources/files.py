@@ -28,8 +28,14 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON array file, needed keys only; a malformed file raises."""
-    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    """Rows of a JSON array file, needed keys only; a malformed file or a row without one of
+    the keys raises (a key whose value is null doesn't)."""
+    strict = {"mode": "FAILFAST"}
+    items = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>", strict)).alias("item"))
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    absent = F.array_except(F.lit(names), F.coalesce(F.json_object_keys("item"), F.array().cast("array<string>")))
+    checked = F.when(F.size(absent) > 0, F.raise_error(F.concat(F.lit("missing keys: "), F.array_join(absent, ", "))).cast("string")).otherwise(F.col("item"))
+    return items.select(F.from_json(checked, schema, strict).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -105,14 +111,22 @@ def document_text(pages: DataFrame) -> DataFrame:
 
 
 def read_paragraphs(files: DataFrame) -> DataFrame:
-    """Paragraphs of .docx files: ``path``, ``idx``, ``style``, ``text``."""
+    """Paragraphs of .docx files: ``path``, ``idx``, ``style``, ``text`` and ``error``.
+
+    A file that can't be read is one row with its error only.
+    """
 
     def run(frames):
         for f in frames:
-            rows = [(path, i, style, text) for path, content in f[["path", "content"]].itertuples(index=False) for i, (style, text) in enumerate(docx_paragraphs(content))]
-            yield pd.DataFrame(rows, columns=["path", "idx", "style", "text"]).astype({"idx": "int64"})
+            rows = []
+            for path, content in f[["path", "content"]].itertuples(index=False):
+                try:
+                    rows += [(path, i, style, text, None) for i, (style, text) in enumerate(docx_paragraphs(content))]
+                except Exception as e:  # one bad file doesn't end the batch
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "idx", "style", "text", "error"]).astype({"idx": "Int64"})
 
-    return files.mapInPandas(run, "path string, idx long, style string, text string")
+    return files.mapInPandas(run, "path string, idx long, style string, text string, error string")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -125,36 +139,85 @@ def write_summary(grouped: DataFrame, by: str, path: str) -> None:
     grouped.orderBy(by).select(F.array_join(lines, "\n").alias("value")).write.mode("overwrite").text(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+class Stale(RuntimeError):
+    """A table has changed since it was read."""
+
+
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
 
+def _manifests(spark: SparkSession, root: str) -> dict[int, list[str]]:
+    """The newest complete manifest and its number: folders of rows, the last line is ``end``."""
+    p, fs = _path(spark, root)
+    names = [status.getPath().getName() for status in fs.listStatus(p)] if fs.exists(p) else []
+    found = {}
+    for number in sorted((int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.manifest", n))), reverse=True):
+        stream = fs.open(_path(spark, f"{root}/v{number}.manifest")[0])
+        try:
+            lines = bytes(stream.readAllBytes()).decode().splitlines()
+        finally:
+            stream.close()
+        if lines and lines[-1] == "end":
+            found[number] = lines[:-1]
+            break
+    return found
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of a table, oldest first."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    found = []
-    for status in fs.listStatus(p):
-        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
-        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(m[1]))
-    return sorted(found)
+
+def version(spark: SparkSession, root: str) -> int:
+    """The number of a table's newest complete version; 0 without one."""
+    return max(_manifests(spark, root), default=0)
 
 
 def read_latest(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    have = versions(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/v{have[-1]}") if have else spark.createDataFrame([], schema)
+    parts = next(iter(_manifests(spark, root).values()), [])
+    return spark.read.schema(schema).parquet(*[f"{root}/{p}" for p in parts]) if parts else spark.createDataFrame([], schema)
+
+
+def _commit(spark: SparkSession, root: str, number: int, parts: list[str]) -> None:
+    """Makes the parts version ``number``. Only one of two writers can create its manifest."""
+    p, fs = _path(spark, f"{root}/v{number}.manifest")
+    try:
+        stream = fs.create(p, False)
+    except Exception as e:
+        raise Stale(f"{root} has a version {number}") from e
+    try:
+        stream.write(bytearray("\n".join([*parts, "end"]).encode()))
+    finally:
+        stream.close()
+
+
+def replace_table(df: DataFrame, root: str, *, based_on: int | None = None) -> DataFrame:
+    """Writes a new version; readers see it only when it is complete, and what is read stays.
+
+    ``based_on`` is the version that ``df`` was computed from (the newest, if not given);
+    ``Stale`` if another writer has made a newer one, so that no change is lost.
+    """
+    spark = df.sparkSession
+    at = version(spark, root) if based_on is None else based_on
+    part = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{part}")
+    _commit(spark, root, at + 1, [part])
+    return spark.read.schema(df.schema).parquet(f"{root}/{part}")
 
 
-def replace_table(df: DataFrame, root: str) -> DataFrame:
-    """Writes a new version; readers see it only when it is complete, and what is read stays."""
+def append_rows(df: DataFrame, root: str, *, based_on: int | None = None) -> DataFrame:
+    """Adds rows as a part of their own: the table's other parts stay as they are. Returns the rows."""
     spark = df.sparkSession
-    at = max(versions(spark, root), default=0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v{at}")
-    return spark.read.parquet(f"{root}/v{at}")
+    newest = _manifests(spark, root)
+    at = max(newest, default=0)
+    if based_on is not None and based_on != at:
+        raise Stale(f"{root} is at version {at}, not {based_on}")
+    part = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{part}")
+    _commit(spark, root, at + 1, [*newest.get(at, []), part])
+    return spark.read.schema(df.schema).parquet(f"{root}/{part}")
 
 
 def backup(df: DataFrame, path: str) -> DataFrame:
@@ -178,10 +241,19 @@ class Staging:
         return self.spark.read.parquet(f"{self.root}/{key}")
 
     def confirm(self, key: str, use: Callable[[DataFrame], object]) -> object:
-        """Passes the staged rows to ``use``, then removes them; a second call raises ``KeyError``."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
-        if not re.fullmatch("[0-9a-f]{32}", key) or not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+        """Passes the staged rows to ``use``, once: they are claimed by a rename before.
+
+        A second call raises ``KeyError``. If ``use`` fails, the rows are staged again.
+        """
+        if not re.fullmatch("[0-9a-f]{32}", key):
+            raise KeyError(key)
+        (staged, fs), (claimed, _) = _path(self.spark, f"{self.root}/{key}"), _path(self.spark, f"{self.root}/claimed-{key}")
+        if not fs.exists(staged) or fs.exists(claimed) or not fs.rename(staged, claimed):
             raise KeyError(key)
-        result = use(self.preview(key))
-        _delete(self.spark, f"{self.root}/{key}")
+        try:
+            result = use(self.spark.read.parquet(f"{self.root}/claimed-{key}"))
+        except BaseException:
+            fs.rename(claimed, staged)
+            raise
+        fs.delete(claimed, True)
         return result

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contentmill.operators.store import new_rows
-from contentmill.sources.files import read_latest, replace_table
+from contentmill.sources.files import append_rows, read_latest
 
 
 def watch_json(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -19,6 +19,8 @@ def watch_json(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def intake(stream: DataFrame, root: str, checkpoint: str, *, schema: str, keys: Sequence[str]) -> StreamingQuery:
     """Appends each batch's new keys to the versioned table at ``root``; available data, then stops.
 
+    A batch writes its own rows only; of what is stored it reads the keys.
+
     A batch that is replayed after a failure finds its keys stored and adds nothing.
     """
 
@@ -26,6 +28,6 @@ def intake(stream: DataFrame, root: str, checkpoint: str, *, schema: str, keys:
         spark = batch.sparkSession
         stored = read_latest(spark, root, schema)
         fresh = new_rows(batch.withColumn("_place", F.monotonically_increasing_id()), stored, keys, "_place").drop("_place")
-        replace_table(stored.unionByName(fresh, allowMissingColumns=True), root)
+        append_rows(stored.limit(0).unionByName(fresh, allowMissingColumns=True), root)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

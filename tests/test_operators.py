@@ -1,10 +1,14 @@
 import datetime as dt
+import os
 import random
+import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from contentmill.operators import catalog, draws, generation, matching, store
+from contentmill.sources import files
 
 T = dt.datetime
 
@@ -138,6 +142,11 @@ def test_zip(spark):
     assert rows(matching.zip_mismatches(a, a.where("o < 2"), ["d"])) == [(1, 3, 2)]
 
 
+def KEEP(df, name):  # noqa: N802
+    """Writes rows once, as a table would."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 DRAFT = "i int, enunciado string, comentario string, resposta string, resolucao string, alternativas map<string,string>, gabarito string, formato string, materia string, trecho string"
 
 
@@ -156,9 +165,9 @@ def test_decisions(spark):
         ],
         DRAFT,
     )
-    out = generation.judge_drafts(drafts, product, lambda d: d.withColumn("key_ok", ~F.col("i").isin(0, 4)))
+    out = generation.judge_drafts(drafts, product, KEEP, lambda d: d.withColumn("key_ok", ~F.col("i").isin(0, 4)))
     assert sorted(rows(out, "i", "status", "motivo_rejeicao")) == [(0, "rejeitada", "key"), (1, "rejeitada", "quotation"), (2, "rejeitada", "source"), (3, "pendente_revisao", None), (4, "rejeitada", "key")]
-    twice = generation.generate_twice(drafts.select("i").where("i in (2, 3)"), lambda r: drafts.join(r, "i", "left_semi"))
+    twice = generation.generate_twice(drafts.select("i").where("i in (2, 3)"), lambda r: drafts.join(r, "i", "left_semi"), KEEP)
     assert sorted(rows(twice, "i", "attempt")) == [(2, 2), (3, 1)]
     summary = generation.batch_summary(out.withColumn("error", F.when(F.col("i") == 3, "x")))
     assert rows(summary) == [(0, 4, 1)]
@@ -170,3 +179,76 @@ def test_listing_and_filters(spark):
     assert catalog.where_given(df, equal={"n": ""}, same={"n": None}, among={"id": []}).count() == 2
     assert rows(catalog.listing(df, ["id"], sizes={"t": "size"}), "id", "size") == [(1, 201), (2, 0)]
     assert len(rows(catalog.listing(df, ["id"], short={"t": 200}), "t")[0][0]) == 203
+
+
+def test_generators_run_once_for_each_request_and_attempt(spark, tmp_path):
+    """A random generator that counts its calls: no draft is made twice, lost or doubled."""
+    log = str(tmp_path)
+
+    def make(request):
+        attempt = uuid.uuid4().hex
+        with open(f"{log}/{request['i']}-{attempt}", "w"):
+            pass
+        if request["i"] == 3:
+            raise RuntimeError("no answer")
+        named = request["i"] % 2 == 0 and len([n for n in os.listdir(log) if n.startswith(f"{request['i']}-")]) == 1
+        return {"enunciado": f"{attempt} o trecho informa" if named else attempt, "formato": "certo_errado", "gabarito": "C"}
+
+    requests = spark.createDataFrame([(i, "M") for i in range(10)], "i int, materia string")
+    seam = generation.per_request(make, "enunciado string, comentario string, resposta string, resolucao string, alternativas map<string,string>, gabarito string, formato string, trecho string")
+    product, _ = generation.product_format("revisao_farol")
+    keep = lambda df, name: files.replace_table(df, f"{tmp_path}/t/{name}")
+    out = generation.judge_drafts(generation.generate_twice(requests, seam, keep), product, keep)
+    for _ in range(2):
+        got = {r.i: r for r in out.collect()}
+        assert set(got) == set(range(10)) and out.count() == 10
+    calls = [n.split("-")[0] for n in os.listdir(log) if "-" in n]
+    assert {i: calls.count(str(i)) for i in range(10)} == {i: 2 if i % 2 == 0 else 1 for i in range(10)}
+    assert got[3].error == "RuntimeError: no answer" and got[3].status is None and all(got[i].attempt == 2 - i % 2 for i in range(10))
+    assert rows(generation.batch_summary(out)) == [(9, 0, 1)]
+    silent = generation.generate_twice(requests, lambda r: seam(r.where("i <> 5")), keep)
+    assert rows(silent.where("i = 5"), "error") == [("no draft",)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_first_interval_on_many_partitions(spark, adaptive):
+    rng = random.Random(1)
+    points = [(rng.randrange(5), rng.randrange(40), "p") for _ in range(400)]
+    spans = [(rng.randrange(5), lo := rng.randrange(40), lo + rng.randrange(6), o, f"s{o}") for o in range(60)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        found = matching.first_interval(spark.createDataFrame(points, "d int, at int, x string").repartition(8), spark.createDataFrame(spans, "d int, lo int, hi int, o int, v string").repartition(8), ["d"], "at", start="lo", end="hi", order="o", value="v")
+        got = sorted(rows(found, "d", "at", "v"), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    first = lambda d, at: next((v for sd, lo, hi, _, v in spans if sd == d and lo <= at <= hi), None)
+    assert got == sorted([(d, at, first(d, at)) for d, at, _ in points], key=str)
+
+
+def test_last_change_wins(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "z", 3), (1, "y", 1), (2, None, 1)], "id long, v string, o int")
+    assert sorted(rows(store.update_by_key(stored, changes, ["id"], ["v"], "o"), "id", "v", "matched"), key=str) == [(1, "z", True), (2, None, True)]
+    assert sorted(rows(store.update_by_key(stored, changes.coalesce(1), ["id"], ["v"]), "id", "v"), key=str) == [(1, "y"), (2, None)]
+
+
+@pytest.mark.parametrize("piece", [7, 10**6])
+def test_numbering_has_no_gaps(spark, piece):
+    df = spark.createDataFrame([(f"k{(i * 37) % 101:03}",) for i in range(101)], "k string").repartition(5)
+    assert sorted(rows(draws.numbered(df, "k", "n", piece=piece))) == [(f"k{i:03}", i + 1) for i in range(101)]
+
+
+def test_literal_matches_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randrange(1, 9)))
+    passages = ["".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(80)] + [None, ""]
+    quotes = [p[at : at + rng.choice((1, 2, 3, 5, 9, 17, 40, 70))] for p in passages[:60] if p for at in (rng.randrange(len(p)),)] + ["", None, "zzz", "ab" * 40]
+    p = spark.createDataFrame(list(enumerate(passages)), "p int, t string").repartition(4)
+    q = spark.createDataFrame(list(enumerate(quotes)), "q int, s string")
+    key = lambda s: re.sub(r"\s+", "", s or "").upper()
+    expected = [(i, j) for i, t in enumerate(passages) for j, s in enumerate(quotes) if key(s) and key(s) in key(t)]
+    found = matching.literal_matches(p, "t", q, "s")
+    assert sorted(rows(found, "p", "q")) == expected and len(expected) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -30,6 +30,8 @@ def test_documents(spark, tmp_path):
     assert {tuple(r.pages) for r in files.read_pages(found, pdf=lambda b: ["p", None]).where("name like '%pdf'").collect()} == {("p", "")}
     styles = files.read_paragraphs(found.where("name like '%docx'")).orderBy("idx").collect()
     assert [(r.style, r.text) for r in styles] == [("Heading 1", "Title"), ("Normal", "text")]
+    both = files.read_paragraphs(files.read_files(spark, f"{tmp_path}/BB/*.docx")).collect()
+    assert len(both) == 3 and [r.path.rsplit("/", 1)[1] for r in both if r.error] == ["other.docx"]
 
 
 def test_json_and_csv(spark, tmp_path):
@@ -38,6 +40,9 @@ def test_json_and_csv(spark, tmp_path):
     assert files.read_json_array(spark, str(tmp_path / "a.json"), schemas.PASSAGE_FILE).first().asDict() == row
     (tmp_path / "a.csv").write_text("concurso,arquivo_origem,materia,tema,ordem,pagina,trecho,hash_conteudo\n" + 'c,a,m,t,1,,"x ""q""\ny",h\n')
     assert files.read_csv(spark, str(tmp_path / "a.csv"), schemas.PASSAGE_FILE).first().asDict() == row
+    (tmp_path / "less.json").write_text(json.dumps([row, {k: v for k, v in row.items() if k != "tema"}]))
+    with pytest.raises(Exception, match="missing keys: tema"):
+        files.read_json_array(spark, str(tmp_path / "less.json"), schemas.PASSAGE_FILE).collect()
     (tmp_path / "bad.json").write_text("[{")
     with pytest.raises(Exception):
         files.read_json_array(spark, str(tmp_path / "bad.json"), schemas.PASSAGE_FILE).collect()
@@ -48,9 +53,20 @@ def test_versions_staging_and_summary(spark, tmp_path):
     assert files.read_latest(spark, root, "x long").count() == 0
     files.replace_table(spark.range(2).toDF("x"), root)
     again = files.replace_table(files.read_latest(spark, root, "x long").union(spark.range(1).toDF("x")), root)
-    assert again.count() == 3 and files.versions(spark, root) == [1, 2]
+    assert again.count() == 3 and files.version(spark, root) == 2
+    files.append_rows(spark.range(5, 6).toDF("x"), root)
+    assert sorted(r.x for r in files.read_latest(spark, root, "x long").collect()) == [0, 0, 1, 5]
+    # Of two writers that read the same version, the second is told.
+    seen = files.version(spark, root)
+    files.append_rows(spark.range(1).toDF("x"), root, based_on=seen)
+    for change in (files.replace_table, files.append_rows):
+        with pytest.raises(files.Stale):
+            change(spark.range(9).toDF("x"), root, based_on=seen)
+    assert files.read_latest(spark, root, "x long").count() == 5
     stage = files.Staging(spark, str(tmp_path / "s"))
     key = stage.stage(spark.range(3))
+    with pytest.raises(ZeroDivisionError):
+        stage.confirm(key, lambda d: 1 // 0)
     assert stage.preview(key).count() == 3 and stage.confirm(key, lambda d: d.count()) == 3
     with pytest.raises(KeyError):
         stage.confirm(key, lambda d: d.count())
