@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contentmill.functions import naming, text
-from contentmill.operators import catalog, draws, generation, matching, parsing, store
+from contentmill.functions import text
+from contentmill.operators import catalog, draws, matching, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,16 +100,6 @@ def filtered_distinct(spark, sf_dir):
     return catalog.distinct_sorted(_read(spark, sf_dir, "events").where((F.col("value") > 50) & text.filled(F.col("event_type"))), "event_type")
 
 
-@query("""
-    select n_name from nation where n_nationkey in (select s_nationkey from supplier)
-    union select n_name from nation where n_nationkey in (select c_nationkey from customer) and n_nationkey not in (select s_nationkey from supplier)""")
-def union_with_anti(spark, sf_dir):
-    nation = _read(spark, sf_dir, "nation")
-    books = nation.join(_read(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_name")
-    bank = nation.join(_read(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name")
-    return books.union(matching.unseen(bank, books, ["n_name"])).distinct().orderBy("n_name")
-
-
 @query("""
     with docs as (select lang, source, min(doc_id) as id from documents where n_chars > 6000 group by 1, 2),
     rest as (select lang, source, min(doc_id) as id from documents join labels using (doc_id) where quality = 1 group by 1, 2)
@@ -196,12 +186,6 @@ def literal_containment(spark, sf_dir):
     return matching.literal_matches(_read(spark, sf_dir, "documents"), "text", _read(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "quote").select("doc_id", "item_id")
 
 
-@query("""select doc_id, cast(len(regexp_extract_all(text, '"[^"]+"|''[^'']+''|“[^”]+”|‘[^’]+’')) as bigint) as n, len(regexp_extract_all(text, '"[^"]+"|''[^'']+''|“[^”]+”|‘[^’]+’')) > 0 as held from documents where text is not null""")
-def citation_validate(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.size(text.quotations(F.col("text"))).cast("long").alias("n"), text.quotations_hold(F.col("text"), F.col("text"), F.lit(True)).alias("held"))
-
-
 @query("""
     with a as (select user_id, ts, value, event_id from events where event_type = 'signup'),
     p as (select event_id, user_id, ts from events where event_type = 'purchase')
@@ -264,20 +248,6 @@ def running_offset(spark, sf_dir):
     return draws.with_offsets(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "offset")
 
 
-@query()
-def lcs_align(spark, sf_dir):
-    turns = _read(spark, sf_dir, "conversations").withColumn("n", F.length("text") % 7)
-    return matching.lcs_align(turns.where("turn % 2 = 0"), turns.where("turn % 2 = 1"), "conv_id", "turn", "n")
-
-
-@query("""
-    with old as (select lang, source, arg_max(sha256(text), doc_id) as hash from documents where doc_id % 2 = 0 and text is not null group by 1, 2)
-    select doc_id, d.lang, d.source from documents d join old using (lang, source) where doc_id % 2 = 1 and text is not null and sha256(text) <> hash and regexp_matches(text, '[^\\s]')""")
-def hash_join_residual(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "source", "text", text.content_hash(F.col("text")).alias("hash"))
-    return matching.latest_row_join(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), ["lang", "source"], "doc_id", value="text", changed="hash").select("doc_id", "lang", "source")
-
-
 @query("""
     with r as (select *, row_number() over (partition by source order by doc_id desc) as n from documents)
     select source, string_agg('- ' || substr(text, 1, 300), chr(10) order by doc_id desc) as block from r where n <= 8 group by 1""")
@@ -292,88 +262,12 @@ def round_robin(spark, sf_dir):
     return draws.round_robin(_read(spark, sf_dir, "part").select("p_type").distinct(), "p_type", 40).select(F.col("i").cast("long"), "p_type")
 
 
-_TYPES_SQL = "(select distinct p_type from part)"
-
-
-@query(f"select p_partkey, p_name from part where exists (select * from {_TYPES_SQL} t where contains(' ' || lower(p_name) || ' ', ' ' || lower(p_type) || ' ') or contains(' ' || lower(p_type) || ' ', ' ' || lower(p_name) || ' ')) or false")
-def fuzzy_semi(spark, sf_dir):
-    parts = _read(spark, sf_dir, "part")
-    return matching.fuzzy_semi(parts.select("p_partkey", "p_name"), "p_name", parts.select("p_type").distinct(), "p_type").select("p_partkey", "p_name")
-
-
-@query(f"select p_partkey, p_name from part where not exists (select * from {_TYPES_SQL} t where contains(' ' || lower(p_name) || ' ', ' ' || lower(p_type) || ' ') or contains(' ' || lower(p_type) || ' ', ' ' || lower(p_name) || ' '))")
-def fuzzy_anti(spark, sf_dir):
-    parts = _read(spark, sf_dir, "part")
-    return matching.fuzzy_anti(parts.select("p_partkey", "p_name"), "p_name", parts.select("p_type").distinct(), "p_type").select("p_partkey", "p_name")
-
-
-@query("""select n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) as folded, n_name as name from nation""")
-def name_canonical(spark, sf_dir):
-    nation = _read(spark, sf_dir, "nation")
-    return nation.select("n_nationkey", text.fold(F.col("n_name")).alias("folded"), naming.subject_name(naming.exam_code(F.col("n_name"))).alias("name"))
-
-
-@query("""
-    select d.doc_id, case when toxic = 1 and quality = 0 then 'rejeitada' when quality = 0 then 'rejeitada' when toxic = 1 then 'rejeitada' else 'pendente_revisao' end as status,
-        case when toxic = 1 and quality = 0 then 'key' when quality = 0 then 'quotation' when toxic = 1 then 'key' end as reason from documents d join labels using (doc_id)""")
-def status_decision(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(_read(spark, sf_dir, "labels"), "doc_id")
-    status, reason = generation.decide(F.lit(True), F.col("quality") == 1, F.col("toxic") == 0, F.lit(""))
-    return rows.select("doc_id", status.alias("status"), reason.alias("reason"))
-
-
-@query("""select doc_id, '' as found, regexp_matches(text, '(?i)observe a figura') as image from documents where text is not null""")
-def source_reference(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("text is not null")
-    none = F.lit(None)
-    found = text.source_reference(F.col("text"), none.cast("string"), none.cast("string"), none.cast("map<string,string>"), none.cast("string"), none.cast("string"))
-    return docs.select("doc_id", found.alias("found"), text.needs_image(F.col("text")).alias("image"))
-
-
-_ANSWERS = (("certo_errado", "Certo."), ("certo_errado", " errado"), ("certo_errado", "x"), ("abcde", "B"), ("abcde", "F"), ("abcde", "c) x."), (None, "A"))
-
-
-@query("select * from (values (0, 'CERTO'), (1, 'ERRADO'), (2, null), (3, 'B'), (4, null), (5, 'C'), (6, null)) t(i, answer)")
-def answer_normalise(spark, sf_dir):
-    rows = spark.createDataFrame([(i, f, a) for i, (f, a) in enumerate(_ANSWERS)], "i int, form string, raw string")
-    options = F.create_map(*[x for letter in "ABCDE" for x in (F.lit(letter), F.lit("t"))])
-    return rows.select("i", text.answer_key(F.col("form"), F.col("raw"), options).alias("answer"))
-
-
-@query("select * from (values (0, 'Q', 'abcde', 'A) x y\nB) z\nC) w'), (1, 'S ( ) no A) one B) two', null, null), (2, 'Stem', 'certo_errado', null)) t(i, stem, form, options)".replace("\n", "' || chr(10) || '"))
-def options_extract(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "Q\nA) x\n y\nB) q\nB) z\nC) w"), (1, "S ( ) no A) one B) two"), (2, "Stem ( ) Certo ( ) Errado")], "i int, block string")
-    read = text.stem_and_form(F.col("block"))
-    return rows.select("i", read["stem"].alias("stem"), read["form"].alias("form"), F.when(text.option_map(F.col("block")).isNotNull(), text.options_block(text.option_map(F.col("block")))).alias("options"))
-
-
-@query()
-def option_shuffle(spark, sf_dir):
-    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    options = F.create_map(F.lit("A"), "p_name", F.lit("B"), "p_type", F.lit("C"), "p_brand")
-    out = text.shuffle_options(options, F.lit("A"), F.col("p_partkey"), {"comment": F.lit("alternativa A e a letra b")})
-    return parts.select("p_partkey", out.alias("s")).select("p_partkey", F.to_json("s.options").alias("options"), "s.key", "s.comment")
-
-
 @query("""select event_id, cast(len(json_keys(props)) as bigint) as n_keys, array_to_string(list_sort(json_keys(props)), ',') as keys from events""")
 def json_map(spark, sf_dir):
     parsed = F.map_keys(F.from_json("props", "map<string,string>"))
     return _read(spark, sf_dir, "events").select("event_id", F.size(parsed).cast("long").alias("n_keys"), F.array_join(F.array_sort(parsed), ",").alias("keys"))
 
 
-@query()
-def toc_lines(spark, sf_dir):
-    return parsing.contents_lines(_read(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-@query("""
-    with t as (select conv_id, turn, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as seg from conversations)
-    select conv_id, cast(seg - 1 as bigint) as ordem, cast(count(*) as bigint) as n from t where seg > 0 group by 1, 2""")
-def heading_islands(spark, sf_dir):
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("is_head"), F.lit("x").alias("text"))
-    return parsing.heading_segments(turns, "conv_id", "turn", "is_head", "text").select("conv_id", "ordem", F.size(F.split("trecho", "\n")).cast("long").alias("n"))
-
-
 @query("""
     select source, count(*) filter (where quality = 1) as ok, count(*) filter (where quality = 0) as failed, case when count(*) filter (where toxic = 1) > 0 then 'toxic' end as error
     from documents join labels using (doc_id) group by 1""")
@@ -436,12 +330,3 @@ def reuse_priority(spark, sf_dir):
 @query("select o_orderkey, o_custkey from orders order by o_orderkey desc limit 8")
 def topk_newest(spark, sf_dir):
     return draws.newest(_read(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "o_custkey")
-
-
-@query()
-def parse_mock_documents(spark, sf_dir):
-    """Conversations read as old mock exams: each answered turn is an item."""
-    turns = _read(spark, sf_dir, "conversations").where("text is not null")
-    part = F.when(F.col("role") == "user", F.concat(F.col("turn") + 1, F.lit(". "), F.regexp_replace("text", r"\s+", " "), F.lit(" ( ) Certo ( ) Errado\n"))).when(F.col("role") == "assistant", F.concat(F.lit("COMENTÁRIOS: "), F.regexp_replace("text", r"\s+", " "), F.lit("\nGABARITO: Certo\n"))).otherwise("")
-    docs = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "").alias("doc"))
-    return parsing.parse_documents(docs.select("conv_id", F.array("doc").alias("pages")), "old_mock", id_col="conv_id").select("conv_id", "place", "kind", "numero", "motivo", "enunciado", "gabarito", "comentario")
