@@ -196,11 +196,12 @@ def embedding_near_dedup(vectors: DataFrame, *, id_col: str = "vec_id", vector_c
     index = reps.select(F.col("node").alias("id"), "weight", "label", "dim", "v").mapInArrow(_index(shared, reach), "id long, weight long, label string, dim int, list long, home boolean, codes binary, lost double, unit binary")
     index = ws.table(index, "index")
     key = ["label", "dim", "list"]
-    counts = index.groupBy(*key).agg(F.ceil(F.count("*") / SIDE).alias("qs"), F.ceil(F.count_if("home") / SIDE).alias("ms"))
-    dealt = index.join(counts.where("ms > 0"), key)
+    counts = index.groupBy(*key).agg(F.count("*").alias("rows"), F.ceil(F.count("*") / SIDE).alias("qs"), F.ceil(F.count_if("home") / SIDE).alias("ms"))
+    dealt = join_hot(index, ws.table(counts.where("ms > 0"), "counts"), key, "rows").drop("rows")
     queries = dealt.withColumns({"role": F.lit(0), "i": F.pmod(F.xxhash64("id"), "qs"), "j": F.explode(F.expr("sequence(0L, ms - 1)"))})
     members = dealt.where("home").withColumns({"role": F.lit(1), "j": F.pmod(F.xxhash64("id"), "ms"), "i": F.explode(F.expr("sequence(0L, qs - 1)"))})
-    cells = queries.unionByName(members).drop("qs", "ms")
+    # By cell, not by list: an earlier exchange by list would do for the grouping otherwise.
+    cells = queries.unionByName(members).drop("qs", "ms").repartition(*key, "i", "j")
     found = ws.table(cells.groupBy(*key, "i", "j").applyInArrow(_cell(shared, cosine), "id long, n long, other long"), "found")
     ws.release()
     links = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
