@@ -7,15 +7,20 @@ passages of one, conversations old exams.
 
 from __future__ import annotations
 
+import io
+import json
 import tempfile
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contentmill.functions import naming, text
 from contentmill.operators import catalog, draws, generation, matching, parsing, store
-from contentmill.queries import _read, query
+from contentmill.queries import QUERIES, _read, query  # noqa: F401
 from contentmill.sources import files
 
 
@@ -420,3 +425,85 @@ def generate_and_judge(spark, sf_dir):
     keep = lambda df, name: files.replace_table(df, f"{root}/{name}")
     judged = generation.judge_drafts(generation.generate_twice(requests, generator, keep), generation.PRODUCTS["mestre_questoes"], keep)
     return judged.select("i", "attempt", "status", F.col("motivo_rejeicao").alias("reason"), "error")
+
+
+# Files: documents, JSON and CSV intake, reports and backups, written and read again.
+
+
+def _docx(pieces: pd.Series) -> pd.Series:
+    """Small .docx files from lists of (style, text) as JSON."""
+
+    def one(listed: str) -> bytes:
+        space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(words)}</w:t></w:r></w:p>' for style, words in json.loads(listed))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+            z.writestr("word/styles.xml", f'<w:styles {space}><w:style w:styleId="H1"><w:name w:val="Heading 1"/></w:style></w:styles>')
+        return out.getvalue()
+
+    return pieces.map(one)
+
+
+def _docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a nation, a heading and two lines for each segment; every fifth is damaged."""
+    counts = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
+    lines = F.array(F.array(F.lit("H1"), F.concat(F.lit("Sobre "), "c_mktsegment")), F.array(F.lit("Normal"), F.concat(F.col("n").cast("string"), F.lit(" clientes"))), F.array(F.lit("Normal"), F.lit("& fim")))
+    listed = counts.groupBy("n_nationkey", "n_name").agg(F.to_json(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", lines.alias("l")))), lambda x: x["l"]))).alias("listed"))
+    content = F.pandas_udf(_docx, "binary")(F.col("listed"))
+    return listed.select(F.concat(F.lit("/books/"), "n_name", F.lit(".docx")).alias("path"), F.concat("n_name", F.lit(".docx")).alias("name"), F.when(F.col("n_nationkey") % 5 == 4, F.lit(b"damaged")).otherwise(content).alias("content"))
+
+
+_DOCX_SQL = """
+    counts as (select n_nationkey, n_name, c_mktsegment, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1, 2, 3),
+    passages as (select n_name || '.docx' as name, n_nationkey, row_number() over (partition by n_name order by c_mktsegment) - 1 as ordem, 'Sobre ' || c_mktsegment as tema, 'Sobre ' || c_mktsegment || chr(10) || n || ' clientes' || chr(10) || '& fim' as trecho from counts)"""
+
+
+@query(f"""with {_DOCX_SQL}
+    select name, ordem, tema, trecho, false as damaged from passages where n_nationkey % 5 <> 4 union all select distinct name, null, null, null, true from passages where n_nationkey % 5 = 4""")
+def docx_books(spark, sf_dir):
+    """Heading books end to end: files, paragraphs, segments; a damaged file is a row like others."""
+    read = files.read_paragraphs(_docx_files(spark, sf_dir)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    heads = read.where("error is null").withColumn("head", F.coalesce(F.col("style") == "Heading 1", F.lit(False)))
+    good = parsing.passage_rows(parsing.heading_segments(heads, "name", "idx", "head", "text")).select("name", "ordem", "tema", "trecho", F.lit(False).alias("damaged"))
+    none = F.lit(None)
+    bad = read.where("error is not null").select("name", none.cast("long").alias("ordem"), none.cast("string").alias("tema"), none.cast("string").alias("trecho"), F.lit(True).alias("damaged"))
+    return good.unionByName(bad)
+
+
+@query(f"""with {_DOCX_SQL}
+    select name, string_agg(trecho, chr(10) order by ordem) as text, n_nationkey % 5 = 4 as damaged from passages where n_nationkey % 5 <> 4 group by 1, n_nationkey union all select distinct name, null, true from passages where n_nationkey % 5 = 4""")
+def docx_texts(spark, sf_dir):
+    pages = files.document_text(files.read_pages(_docx_files(spark, sf_dir)))
+    return pages.select("name", "text", F.col("error").isNotNull().alias("damaged"))
+
+
+@query("select p_partkey, p_name || chr(10) || '\"' || p_type || '\", x' as note, case when p_partkey % 2 = 0 then p_size end as p_size from part")
+def csv_round_trip(spark, sf_dir):
+    at = _scratch(spark, "csv")
+    rows = _read(spark, sf_dir, "part").select("p_partkey", _f('%s\n"%s", x', "p_name", "p_type").alias("note"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("p_size"))
+    rows.write.csv(at, header=True, escape='"')
+    return files.read_csv(spark, at, "p_partkey long, note string, p_size int")
+
+
+@query("select p_brand, p_partkey, p_name, case when p_partkey % 2 = 0 then p_size end as p_size from part")
+def json_round_trip(spark, sf_dir):
+    """A JSON array file a brand, with a key that isn't needed; null values stay."""
+    at = _scratch(spark, "json")
+    item = F.to_json(F.struct("p_brand", "p_partkey", "p_name", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("p_size"), F.lit("x").alias("extra")), {"ignoreNullFields": "false"})
+    lists = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ",\n"), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(at)
+    return files.read_json_array(spark, at, "p_brand string, p_partkey long, p_name string, p_size int")
+
+
+@query("select 'kept' as what, c_mktsegment || ': ' || count(*) as value from customer where c_custkey < 200 group by c_mktsegment union all select 'kept', '  - ' || c_name from customer where c_custkey < 200 union all select 'backup', c_name from customer where c_custkey < 200 union all select 'json', c_name from customer where c_custkey < 200")
+def written_reports(spark, sf_dir):
+    """A summary by groups, a backup, and rows as JSON lines."""
+    customers = _read(spark, sf_dir, "customer").where("c_custkey < 200")
+    at = _scratch(spark, "reports")
+    files.write_summary(catalog.grouped_lists(customers, "c_mktsegment", "c_custkey", "c_name"), "c_mktsegment", f"{at}/summary")
+    files.write_json(customers.select("c_name"), f"{at}/json")
+    copy = files.backup(customers.select("c_name"), f"{at}/backup")
+    parts = [("kept", spark.read.text(f"{at}/summary")), ("backup", copy), ("json", spark.read.schema("c_name string").json(f"{at}/json"))]
+    out = [df.toDF("value").select(F.lit(what).alias("what"), "value") for what, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
