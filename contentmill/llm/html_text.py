@@ -255,6 +255,13 @@ x 1/100*5 | + h7 50 60 | - 8 | - h2 12 | - 9 | - 16
 - 9 | + 60 70 | - 8 3/100
 - 14 | - 10/100 2/100*3 | + h8 75 30 | - h2 8 1/100 20 | - 1/100 12
 - 1/100*6 | - 8 | + h7 12/100 60 | - 9
+x 1/100*6 | + h2~4~7 | - 6/50 | + 60 45 30 8 | - 9
+x 1/100*4 | + h3~5 9/50! | + 55 40 h2 30 | - h2 2/100 14 | x 10
+- 2/100*3 | + h2~5 | + 50~90 | + 70 | + 40 | - h1 5/100*2 | - 10/20
+- 1/100 1/100 | + h2~4 60 50 20 | - h2~3 3/100*4 | - 8
+- h2 9 | - 1/100*5 | + h3~6 80 | - h3 2/100 11
+x 1/100*3 | + h4 60 45 h2 30 8 | - h2 | - 1/100 14~30 | - 1/100 25
+- 1/100*4 | + h8 90 h2~3 2/100*3 40 | - h1~2 | - 1~2/100 9~20
 - 1/100*6 | - 8 | + h7 22/50 18 40/30 | - 9 | - 4/100*2
 """
 
