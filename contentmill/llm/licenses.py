@@ -100,6 +100,17 @@ def window_anchors(texts: list[str], dice: float) -> list[str]:
     return chosen
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern of words that branches at each letter; words that begin with another aren't needed."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[:1], []).append(w[1:])
+    if "" in heads:
+        return ""
+    parts = [re.escape(head) + one_of(rests) for head, rests in heads.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def normalised(text: Column) -> Column:
     """Lower case; runs of other characters than ASCII letters and digits are one space."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -129,7 +140,7 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, tuple[str, ...]] = TE
         texts = full_texts()
         notices = {name: NOTICES.get(name, ()) + texts.get(name, ()) for name in [*NOTICES, *(n for n in texts if n not in NOTICES)]} if templates is TEMPLATES else {}
     words = anchors(templates, dice)
-    gate = f"(?i)(?<![a-z0-9])(?:{'|'.join(words)})"
+    gate = f"(?i)(?<![a-z0-9]){one_of(words)}"
     table = [(name, bigram_list(t)) for name, texts in templates.items() for t in texts]
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in table])
     least, most = dice / (2 - dice), (2 - dice) / dice
@@ -171,7 +182,7 @@ def _windows(docs: DataFrame, templates: list[tuple[str, str]], dice: float) ->
 
     known = F.array(*[F.struct(F.lit(name).alias("name"), listed(grams).alias("grams"), F.lit(size).alias("size"), F.lit(len(grams)).alias("kinds"), F.lit(math.ceil(least * len(grams) - 1e-9)).alias("need")) for name, grams, size in rows])
     union = listed(sorted({g for _, grams, _ in rows for g in grams}))
-    gate = f"(?i)(?<![a-z0-9])(?:{'|'.join(window_anchors([t for _, t in templates], dice))})"
+    gate = f"(?i)(?<![a-z0-9]){one_of(window_anchors([t for _, t in templates], dice))}"
     kind = "array<struct<dice:double,start:int,end:int,license:string>>"
 
     words = F.split(normalised(F.col("text")), " ")
