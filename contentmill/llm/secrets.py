@@ -19,6 +19,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Runs of the alphabet from this length on are judged by the models.
 RUN_LEAST = 16
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{RUN_LEAST},}}+"
+#: Transitions of a run that are scored together.
+CHUNK = 16_384
 #: A run is a secret from this log-likelihood ratio in all and for each transition.
 RATIO_LEAST, RATIO_MEAN = 9.0, 0.35
 
@@ -98,12 +100,17 @@ def train_markov(labelled: DataFrame) -> list[float]:
 
 
 def markov_ratio(body: Column, model: Column) -> Column:
-    """Log-likelihood ratio of a string over all its transitions."""
+    """Log-likelihood ratio of a string over all its transitions, ``CHUNK`` of them at a time."""
     k = len(ALPHABET) + 1
-    places = _places(body)
-    last = F.size(places)
-    steps = F.zip_with(F.slice(places, F.lit(1), last - 1), F.slice(places, F.lit(2), last - 1), lambda a, b: a * k + b)
-    return F.aggregate(steps, F.lit(0.0), lambda total, pair: total + F.element_at(model, pair + 1))
+
+    def of(part: Column) -> Column:
+        places = _places(part)
+        last = F.size(places)
+        steps = F.zip_with(F.slice(places, F.lit(1), last - 1), F.slice(places, F.lit(2), last - 1), lambda a, b: a * k + b)
+        return F.aggregate(steps, F.lit(0.0), lambda total, pair: total + F.element_at(model, pair + 1))
+
+    parts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(body) - 2) / CHUNK).cast("int"), F.lit(0)))
+    return F.aggregate(parts, F.lit(0.0), lambda total, i: total + of(F.substring(body, i * CHUNK + 1, F.lit(CHUNK + 1))))
 
 
 def reads_like_noise(body: Column, model: Column) -> Column:
