@@ -129,6 +129,27 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, side, lists):
     assert sum(r.n_links for r in embedding_dedup.embedding_near_dedup(df).collect()) >= 0.97 * len(links)
 
 
+def test_embeddings_of_the_tables_with_near_copies(spark):
+    """The table itself holds no link: every row gets a copy that is off by a fixed perturbation."""
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r.embedding is not None]
+    top = max(i for i, _, _ in rows) + 1
+    rng = np.random.default_rng(8)
+    near = []
+    for i, v, label in rows:
+        noise = rng.normal(size=len(v))
+        near.append((top + i, [float(a) for a in np.array(v) + (i % 7) * 0.1 * np.linalg.norm(v) * noise / np.linalg.norm(noise)], label))
+    both = rows + near
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_dedup(spark.createDataFrame(both, "vec_id long, embedding array<float>, label int")).collect()}
+    ids, labels = np.array([r[0] for r in both]), np.array([-1 if r[2] is None else r[2] for r in both])
+    u = np.array([r[1] for r in both], dtype=np.float32).astype(float)
+    u /= np.sqrt((u**2).sum(1))[:, None]
+    linked = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :]) & (labels[:, None] >= 0)
+    np.fill_diagonal(linked, False)
+    exact = {int(i): int(n) for i, n in zip(ids, linked.sum(1), strict=True)}
+    assert sum(exact.values()) > 500 and all(r.n_links <= exact[i] for i, r in got.items())
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(exact.values())
+
+
 def test_embeddings_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_near_dedup(empty).count() == 0

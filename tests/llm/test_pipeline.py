@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from contentmill.llm.workspace import Workspace
 from tests.llm.test_pairs import brute
-from tests.llm.test_scans import base_secrets
+from tests.llm.test_scans import base_secrets, brute_quality, check_mixing
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,8 @@ def test_quality(spark, small, stages):
     kept = ids(stages["quality_classifier"])
     good = [i for i, q in labels.items() if q == 1]
     bad = [i for i, q in labels.items() if q == 0]
+    scores = brute_quality({r.doc_id: r.text for r in stages["input"].collect()}, labels)
+    assert all((i in kept) == (s >= 0.3) for i, s in scores.items() if abs(s - 0.3) > 1e-6)
     assert sum(i in kept for i in good) >= 0.95 * len(good) and sum(i in kept for i in bad) <= 0.3 * len(bad)
 
 
@@ -62,6 +64,7 @@ def test_mixing(stages):
     assert {r.doc_id for r in out} <= ids(stages["secret_scans"]) and len({(r.doc_id, r["pass"]) for r in out}) == len(out)
     total = sum(len(r.text.split()) for r in stages["secret_scans"].collect())
     assert 0.8 * total <= sum(r.n_tokens for r in out) <= total
+    check_mixing([(r.doc_id, r.text, r.source) for r in stages["secret_scans"].collect()], out, 0.98, 4.0)
 
 
 def test_empty(spark, tmp_path):
