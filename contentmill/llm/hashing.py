@@ -77,10 +77,17 @@ class Block:
         self.starts = np.flatnonzero(solid & (before | edge[:-1]))
         self.ends = np.flatnonzero(solid & (after | edge[1:])) + 1
         self.word_at = np.searchsorted(self.starts, bounds)
-        up, down = _powers.get(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_FOLDED[data] * up[:n], out=total[1:])
-        self.words = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.words = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(self.starts):  # stretch by stretch, so that a long document needs no more
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + BLOCK, side="right")))
+            at, end = self.starts[i], self.ends[j - 1]
+            up, down = _powers.get(end - at + 1)
+            total = np.zeros(end - at + 1, dtype=np.uint64)
+            np.cumsum(_FOLDED[data[at:end]] * up[:-1], out=total[1:])
+            first, last = self.starts[i:j] - at, self.ends[i:j] - at
+            self.words[i:j] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+            i = j
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k-word shingles and their bounds by document.
