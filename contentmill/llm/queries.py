@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentmill.llm.centroids import centroid_clusters
 from contentmill.llm.decontaminate import contaminated
 from contentmill.llm.embedding_dedup import embedding_near_dedup
 from contentmill.llm.html_text import extract_text
@@ -16,6 +17,8 @@ from contentmill.llm.pii import find_pii, pii_digest
 from contentmill.llm.quality import classify_quality
 from contentmill.llm.secrets import scan_secrets, secret_digest
 from contentmill.llm.url_filter import filter_urls
+from contentmill.llm.warc import warc_round_trip
+from contentmill.llm.whitening import whiten
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -64,6 +67,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_mixing_sources,
         op10_html_extraction,
+        op11_centroid_clustering,
+        op12_warc,
+        op13_embedding_whitening,
     )
 }
 
@@ -88,6 +106,21 @@ _REACHED = """
 
 _TEMPLATE_ROWS = ", ".join(f"('{name}', {bigram_list(t)!r})" for name, texts in TEMPLATES.items() for t in texts)
 
+
+def _rounds(n: int) -> str:
+    """Rounds of Lloyd over ``points``: assignments a0 to a``n`` and centroids c0 to c``n``."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""
+    d{i} as (select vec_id, c, sum((p.x - k.x) * (p.x - k.x)) as distance from points p join c{i} k using (d) group by 1, 2),
+    a{i} as (select vec_id, c, distance from d{i} qualify row_number() over (partition by vec_id order by distance, c) = 1)""")
+        if i < n:
+            parts.append(f"""
+    m{i} as (select c, d, cast(sum(x) as bigint) as s, count(*) as n from points join a{i} using (vec_id) group by 1, 2),
+    c{i + 1} as (select c, d, coalesce((s - ((s % n) + n) % n) // n, x) as x from c{i} left join m{i} using (c, d))""")
+    return ",".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": f"""
     with recursive good as (
@@ -117,4 +150,18 @@ ORACLES: dict[str, str] = {
     links as (select a, b from pairs where 100 * shared >= 90 * (n + m - shared)),
     {_REACHED}
     select doc_id, cast(len(grams) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id from sets left join classes on id = doc_id""",
+    "op11_centroid_clustering": f"""
+    with kept as (select vec_id, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    points as (select vec_id, unnest(range(64)) as d, unnest(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) as x from kept),
+    starts as (select vec_id, row_number() over (order by sha256('1:' || vec_id)) - 1 as c from kept qualify c < 16),
+    c0 as (select c, d, x from starts join points using (vec_id)),{_rounds(3)},
+    named as (select c, sha256(string_agg(cast(x as varchar), ',' order by d)) as centroid_sha256 from c3 group by 1)
+    select vec_id, cast(c as integer) as cluster, cast(distance as bigint) as distance, cast(sum(distance) over (partition by c) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+    from a3 join named using (c)""",
+    "op12_warc": """
+    with keyed as (select page_id, coalesce(html, '') as html from pages),
+    sized as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from keyed),
+    firsts as (select payload_digest, min(page_id) as first from sized where payload_bytes >= 100 group by 1)
+    select page_id, payload_bytes, s.payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to
+    from sized s left join firsts f on s.payload_digest = f.payload_digest and payload_bytes >= 100""",
 }
