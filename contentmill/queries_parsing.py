@@ -103,7 +103,7 @@ def parse_mock_exams(spark, sf_dir):
 
 _PASSAGES_SQL = """
     counts as (select n_regionkey, n_name, c_mktsegment, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1, 2, 3),
-    pages as (select *, row_number() over (partition by n_name order by c_mktsegment) as p, 'TITULO ' || c_mktsegment || chr(10) || n || ' clientes' as trecho from counts)"""
+    pages as (select *, row_number() over (partition by n_name order by c_mktsegment) as p, 'TITULO ' || c_mktsegment || ' ' || n || ' clientes' as trecho from counts)"""
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ def toc_lines(spark, sf_dir):
 
 @query("""
     with t as (select conv_id, turn, role || ' ' || turn as t, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as seg from conversations)
-    select conv_id, cast(seg - 1 as bigint) as ordem, first(t order by turn) as tema, string_agg(t, chr(10) order by turn) as trecho, sha256(string_agg(t, chr(10) order by turn)) as hash_conteudo, null::int as pagina from t where seg > 0 group by 1, 2, seg""")
+    select conv_id, cast(seg - 1 as bigint) as ordem, first(t order by turn) as tema, string_agg(t, ' ' order by turn) as trecho, sha256(string_agg(t, ' ' order by turn)) as hash_conteudo, null::int as pagina from t where seg > 0 group by 1, 2, seg""")
 def heading_islands(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("is_head"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("text"))
     return parsing.passage_rows(parsing.heading_segments(turns, "conv_id", "turn", "is_head", "text")).select("conv_id", "ordem", "tema", "trecho", "hash_conteudo", "pagina")
@@ -456,7 +456,7 @@ def _docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DOCX_SQL = """
     counts as (select n_nationkey, n_name, c_mktsegment, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1, 2, 3),
-    passages as (select n_name || '.docx' as name, n_nationkey, row_number() over (partition by n_name order by c_mktsegment) - 1 as ordem, 'Sobre ' || c_mktsegment as tema, 'Sobre ' || c_mktsegment || chr(10) || n || ' clientes' || chr(10) || '& fim' as trecho from counts)"""
+    passages as (select n_name || '.docx' as name, n_nationkey, row_number() over (partition by n_name order by c_mktsegment) - 1 as ordem, 'Sobre ' || c_mktsegment as tema, 'Sobre ' || c_mktsegment || ' ' || n || ' clientes & fim' as trecho, 'Sobre ' || c_mktsegment || chr(10) || n || ' clientes' || chr(10) || '& fim' as lines from counts)"""
 
 
 @query(f"""with {_DOCX_SQL}
@@ -472,7 +472,7 @@ def docx_books(spark, sf_dir):
 
 
 @query(f"""with {_DOCX_SQL}
-    select name, string_agg(trecho, chr(10) order by ordem) as text, n_nationkey % 5 = 4 as damaged from passages where n_nationkey % 5 <> 4 group by 1, n_nationkey union all select distinct name, null, true from passages where n_nationkey % 5 = 4""")
+    select name, string_agg(lines, chr(10) order by ordem) as text, n_nationkey % 5 = 4 as damaged from passages where n_nationkey % 5 <> 4 group by 1, n_nationkey union all select distinct name, null, true from passages where n_nationkey % 5 = 4""")
 def docx_texts(spark, sf_dir):
     pages = files.document_text(files.read_pages(_docx_files(spark, sf_dir)))
     return pages.select("name", "text", F.col("error").isNotNull().alias("damaged"))

@@ -1,6 +1,12 @@
+"""Parsers: Spark plans against plain ones on fixed and random documents."""
+
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from contentmill.operators import parsing
+from contentmill.operators import markers, matching, parsing
+from tests import plain_parsers as plain
 
 BOOK = """Capa
 Sumário
@@ -29,23 +35,6 @@ GABARITO: B
 """
 
 
-def test_question_book():
-    rows, failures = parsing.parse_question_book(BOOK)
-    assert [(r["tema"], r["formato"], r["banca_ano"], r["enunciado"], r["gabarito"], r["comentario"]) for r in rows] == [
-        ("DOS CRIMES", "certo_errado", "BOARD/2020", "Stem one goes on", "CERTO", "because one"),
-        ("DOS CRIMES", "abcde", None, "Stem two", "B", "because two"),
-    ]
-    assert rows[1]["alternativas"]["A"] == "x more"
-    assert failures[0] == {"numero": 3, "motivo": "unknown format"} and failures[1] == {"numero": 4, "motivo": "no comment of this number"}
-
-
-def test_restarting_numbers_keep_their_sections():
-    q = "".join(f"QUESTÃO {n} s{i} ( ) Certo\n" for i, n in enumerate((1, 2, 3, 1, 2, 3)))
-    c = "".join(f"QUESTÃO {n}\nCOMENTÁRIO: c{i}\nGABARITO: C\n" for i, n in enumerate((1, 3, 1, 2, 3)))
-    rows, failures = parsing.parse_question_book(f"x\n{q}\nCOMENTÁRIOS\n{c}")
-    assert [r["comentario"] for r in rows] == ["c0", "c1", "c2", "c3", "c4"] and [f["numero"] for f in failures] == [2]
-
-
 MOCK = """DIREITO PENAL
 
 Leia o texto para as questões de 1 a 2: Era uma vez.
@@ -66,29 +55,147 @@ GABARITO: A
 """
 
 
-def test_old_mock():
-    rows, failures = parsing.parse_old_mock(MOCK)
-    assert [(r["materia"], r["enunciado"], r["gabarito"], r["texto_auxiliar"]) for r in rows] == [("DIREITO PENAL", "Stem A", "B", "Era uma vez."), ("DIREITO PENAL", "Stem B", "ERRADO", "Era uma vez.")]
-    assert failures == [{"numero": 3, "motivo": "unknown format"}]
-    assert parsing.mock_headings(MOCK)[-1][1] == "LÍNGUA-INGLESA"
-    assert [n for _, n in parsing.mock_headings("AAAA\n\nBBBB\n")] == ["AAAA BBBB"]
-    assert parsing.parse_old_mock("01. a ( ) Certo\nCOMENTÁRIO: x\nCOMENTÁRIO: y\nGABARITO: C\n")[1][0]["motivo"] == "2 comments, 1 answers"
+def parsed(spark, parser, documents, subject=None):
+    """Rows of each document as dicts without nulls, in order."""
+    df = spark.createDataFrame([(i, d, subject) for i, d in enumerate(documents)], "doc_id long, pages array<string>, subject string").repartition(5)
+    out = {i: [] for i in range(len(documents))}
+    for r in parsing.parse_documents(df, parser, subject_col="subject").orderBy("doc_id", "place").collect():
+        assert r.place == len(out[r.doc_id])
+        out[r.doc_id].append({k: v for k, v in r.asDict().items() if v is not None and k not in ("doc_id", "place")})
+    return out
+
+
+def expected(parser, pages, subject=None):
+    read = {
+        "combined_book": lambda: (plain.parse_combined_book(pages), []),
+        "single_book": lambda: (plain.parse_single_book(pages, subject or ""), []),
+        "question_book": lambda: plain.parse_question_book("\n".join(pages)),
+        "old_mock": lambda: plain.parse_old_mock("\n".join(pages)),
+    }[parser]
+    try:
+        rows, failures = read()
+    except ValueError as e:
+        return [{"kind": "error", "motivo": str(e)}]
+    rows = [{"kind": "row", "materia": subject} | {k: v for k, v in r.items() if k != "materia" or v is not None} for r in rows]
+    return [{k: v for k, v in r.items() if v is not None} for r in rows + [{"kind": "failure"} | f for f in failures]]
+
+
+def check(spark, parser, documents, subject=None):
+    got = parsed(spark, parser, documents, subject)
+    for i, d in enumerate(documents):
+        assert got[i] == expected(parser, d, subject), d
+    return got
+
+
+def fuzz(pieces, n, most=40, seed=7):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, most))) for _ in range(n)]
+
+
+def test_question_book(spark):
+    rows = check(spark, "question_book", [[BOOK], ["nothing"], ["x\nSumário\n1\n\nT .... 3"], [], ["a\n\nSUMARIO\n", "Tema .. 1\n\n12\n", BOOK]], "Leis")[0]
+    assert [(r["tema"], r["formato"], r.get("banca_ano"), r["enunciado"], r["gabarito"], r["comentario"], r["materia"]) for r in rows[:2]] == [
+        ("DOS CRIMES", "certo_errado", "BOARD/2020", "Stem one goes on", "CERTO", "because one", "Leis"),
+        ("DOS CRIMES", "abcde", None, "Stem two", "B", "because two", "Leis"),
+    ]
+    assert rows[1]["alternativas"]["A"] == "x more"
+    assert [(r["numero"], r["motivo"]) for r in rows[2:]] == [(3, "unknown format"), (4, "no comment of this number")]
+
+
+def test_restarting_numbers_keep_their_sections(spark):
+    q = "".join(f"QUESTÃO {n} s{i} ( ) Certo\n" for i, n in enumerate((1, 2, 3, 1, 2, 3)))
+    c = "".join(f"QUESTÃO {n}\nCOMENTÁRIO: c{i}\nGABARITO: C\n" for i, n in enumerate((1, 3, 1, 2, 3)))
+    rows = check(spark, "question_book", [[f"x\n{q}\nCOMENTÁRIOS\n{c}"]])[0]
+    assert [r["comentario"] for r in rows[:5]] == ["c0", "c1", "c2", "c3", "c4"] and [r["numero"] for r in rows[5:]] == [2]
+
+
+QUESTION_PIECES = ["QUESTÃO 1", "questao 02 - ", "QUESTÃO 1 0: ", "QUESTAO 3", "(BOARD 2020)", "( BOARD\n2 )", "\n", "\n", " ", "\nA) x", "\nB) y", "\nC)", "\nC) z w", "( ) Certo", "(  ) certo", "\nCOMENTÁRIOS\n", "\nCOMENTÁRIO: why", "\nComentarios\nbecause", "\nGABARITO: B", "\ngabarito certo.\n", "\nGABARITO: E", "palavra", "Dos Crimes", "DOS  CRIMES", "Dos\nCrimes", "Penas (art. 5)", "é", "\x0b", "\u2028"]
+QUESTION_HEADS = ["", "Capa\nSumário\nDos Crimes .... 3\nPenas (art. 5) e mais .. 4\n\n7\n", "x\nSumario\nDos Crimes e outros .. 3\nDos Crimes ... 4\nDos\\E .. 9\n", "x\nSUMÁRIO\n.. 3\na .. 1\r\n"]
+
+
+def test_random_question_books(spark):
+    rng = random.Random(1)
+    bodies = fuzz(QUESTION_PIECES, 150) + ["".join(f"{rng.choice(QUESTION_PIECES)}\nQUESTÃO {rng.randrange(1, 4)}{rng.choice((' s ( ) Certo', chr(10) + 'A) x' + chr(10) + 'B) y' + chr(10) + 'C) z', ' t'))}" for _ in range(8)) + "\nCOMENTÁRIOS\n" + "".join(f"QUESTÃO {rng.randrange(1, 4)}\nCOMENTÁRIO: c{i}\nGABARITO: {rng.choice('ABCE.')}\n{rng.choice(QUESTION_PIECES)}\n" for i in range(8)) for _ in range(150)]
+    check(spark, "question_book", [[rng.choice(QUESTION_HEADS) + b] for b in bodies])
+
+
+def test_old_mock(spark):
+    rows = check(spark, "old_mock", [[MOCK], ["01. a ( ) Certo\nCOMENTÁRIO: x\nCOMENTÁRIO: y\nGABARITO: C\n"], [], [MOCK, MOCK]])
+    assert [(r["materia"], r["enunciado"], r["gabarito"], r["texto_auxiliar"]) for r in rows[0][:2]] == [("DIREITO PENAL", "Stem A", "B", "Era uma vez."), ("DIREITO PENAL", "Stem B", "ERRADO", "Era uma vez.")]
+    assert rows[0][2:] == [{"kind": "failure", "numero": 3, "motivo": "unknown format"}] and rows[1][-1]["motivo"] == "2 comments, 1 answers"
+    heads = lambda text: parsed(spark, "old_mock", [[text + "\n1. a ( ) Certo\nCOMENTÁRIO: x\nGABARITO: C\n"]])[0][0]["materia"]
+    # Blank lines belong to the first heading's match, so they don't part headings; a third one stands alone.
+    assert heads("LÍNGUA-\nINGLESA") == "LÍNGUA-INGLESA" and heads("AAAA\n\nBBBB") == "AAAA BBBB" and heads("AAAA\nBBBB\nCCCC") == "CCCC"
+
+
+MOCK_PIECES = ["\n1. ", "\n 02 . ", "\nQUESTÃO 3 (X) ", "\nquestao 1\n", "12. ", "stem", " ( ) Certo", "\n(A) x", "\nB) y", "\nC) z", "\nC)", "\nCOMENTÁRIOS: why", "COMENTARIO :\n", "\nGABARITO: B", "\nGABARITO: certo ", "GABARITO : C.", "\nDIREITO PENAL\n", "\nLÍNGUA-\n", "INGLESA\n", "\nGABARITO\n", "\nABC\n", "\n\nAAAA BBBB\n\n", "\nLeia o texto para as questões de 1 a 2: Era", "Leia o texto dos itens 2 e 3.", "\n", "\n\n", "é"]
+
+
+def test_random_mocks(spark):
+    rng = random.Random(2)
+    item = lambda: rng.choice(MOCK_PIECES) + f"\n{rng.randrange(1, 4)}. s" + rng.choice((" ( ) Certo", "\nA) x\n(B) y\nC) z", "")) + rng.choice(MOCK_PIECES) + "\nCOMENTÁRIOS: c\nGABARITO: " + rng.choice(("B", "Certo", "e.", "?")) + rng.choice(MOCK_PIECES)
+    check(spark, "old_mock", [[d] for d in fuzz(MOCK_PIECES, 200) + ["".join(item() for _ in range(6)) for _ in range(150)]])
+
+
+BOOK_PAGES = ["capa", "CONCURSOS\nDIREITO PENAL\nCONCURSOS", "Sumário\nDos Crimes ..... 1\nDas Penas .... 2", "CONCURSOS\n1\nDIREITO PENAL\nDOS CRIMES\ntexto sobre das penas.", "CONCURSOS\n2\nDas Penas\nmais texto"]
+
+
+def test_books(spark):
+    rows = check(spark, "combined_book", [BOOK_PAGES, [], ["x"], BOOK_PAGES[:2], BOOK_PAGES[1:2] * 2 + BOOK_PAGES])[0]
+    assert [(r["materia"], r["tema"], r["ordem"], r["pagina"], r["trecho"]) for r in rows] == [("DIREITO PENAL", "Dos Crimes", 0, 1, "DOS CRIMES texto sobre das penas."), ("DIREITO PENAL", "Das Penas", 1, 2, "Das Penas mais texto")]
+    single = check(spark, "single_book", [["Sumário\nDecreto Um\nDecreto Dois", "Decreto Um\na", "Decreto Dois\nb"], ["no contents"], ["Sumário\n12\n"], ["o Sumário da obra", "Sumário\nUm só\n", "", "um só. Um só", "x\ny"]], "Leis")
+    assert [(r["tema"], r["trecho"]) for r in single[0]] == [("Decreto Um", "Decreto Um a"), ("Decreto Dois", "Decreto Dois b")]
+    assert single[1][0]["motivo"] == "no table of contents" and single[2][0]["motivo"] == "no titles in the table of contents"
+
+
+TITLES = ["Dos Crimes", "Dos Crimes Contra a Honra", "aaaa", "aa", "Lei nº 8.112/1990", "Lei 8112", "Lei nº 8.112/90 e outras", "--", "Das Penas (1)", "Órgãos"]
+BODY_PIECES = [*TITLES, "DOS CRIMES", "dos crimes", "Dos-Crimes", "DOS CRIMES CONTRA A HONRA", "aaaaa", "lei n 8112/1990", "Lei nº 8.112", " ", " ", "\n", ". ", "texto", "DIREITO PENAL", "CONCURSOS", "12", "órgãos", "ÓRGÃOS"]
+
+
+def random_book(rng):
+    listed = "Sumário\n" + "".join(rng.choice((f"{t} .... {rng.randrange(0, 5)}\n", f"{t}\n")) for t in rng.sample(TITLES, rng.randrange(1, 6)))
+    page = lambda n: rng.choice((f"CONCURSOS\n{n}\n", "", "DIREITO\n", "\n\n")) + "".join(rng.choice(BODY_PIECES) + rng.choice(("", " ", "\n")) for _ in range(rng.randrange(0, 14)))
+    return [listed, *[page(n) for n in range(rng.randrange(0, 5))]]
+
+
+def test_random_books(spark):
+    rng = random.Random(3)
+    check(spark, "single_book", [random_book(rng) for _ in range(250)], "Direito Penal")
+    check(spark, "combined_book", [["capa", *[p for name in rng.sample(("DIREITO PENAL", "LEIS"), 2) for p in (f"CONCURSOS\n {name}\nCONCURSOS", *random_book(rng))]] for _ in range(100)])
+
+
+def test_titles_are_found_wherever_they_stand(spark):
+    rows = [("aaaa", ["aa", "aaa", "zz", ""]), ("Lei nº 8.112/90: lei N 811290", ["lei n 8112", "LEI Nº 811290"]), ("", ["a"]), ("x", []), ("a\\b a\\Eb", ["ab", "aeb"])]
+    df = spark.createDataFrame(rows, "text string, titles array<string>").withColumn("keys", F.transform("titles", markers.folded))
+    found = markers.with_hits(df, "hits", "text", F.col("keys"), markers.loose_pattern, markers.folded, "iuU").select("text", F.transform("keys", lambda k: F.transform(markers.places(F.col("hits"), k), lambda h: h["at"])).alias("at"))
+    brute = lambda text, titles: [[i for i in range(len(text)) if (k := "".join(c.upper() for c in t if c.isalnum() or c.isspace())) and text[i].isalnum() and "".join(c.upper() for c in text[i:] if c.isalnum() or c.isspace()).startswith(k)] for t in titles]
+    assert {r.text: r["at"] for r in found.collect()} == {text: brute(text, titles) for text, titles in rows}
+
+
+def test_common_pairs_equal_the_sequential_ones(spark):
+    rng = random.Random(5)
+    rows = [([str(rng.randrange(5)) for _ in range(rng.randrange(0, 14))], [str(rng.randrange(5)) for _ in range(rng.randrange(0, 14))]) for _ in range(200)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = {r.i: [tuple(p) for p in r.p] for r in markers.with_common_pairs(df, "p", "a", "b").collect()}
+    assert got == {i: matching.common_subsequence(a, b) for i, (a, b) in enumerate(rows)}
 
 
-def test_books():
-    pages = ["capa", "CONCURSOS\nDIREITO PENAL\nCONCURSOS", "Sumário\nDos Crimes ..... 1\nDas Penas .... 2", "CONCURSOS\n1\nDIREITO PENAL\nDOS CRIMES\ntexto sobre das penas.", "CONCURSOS\n2\nDas Penas\nmais texto"]
-    rows = parsing.parse_combined_book(pages)
-    assert [(r["materia"], r["tema"], r["ordem"], r["pagina"]) for r in rows] == [("DIREITO PENAL", "Dos Crimes", 0, 1), ("DIREITO PENAL", "Das Penas", 1, 2)]
-    assert rows[1]["trecho"].startswith("Das Penas") and rows[0]["trecho"].endswith("das penas.")
-    single = parsing.parse_single_book(["Sumário\nDecreto Um\nDecreto Dois", "Decreto Um\na", "Decreto Dois\nb"], "Leis")
-    assert [(r["tema"], r["trecho"]) for r in single] == [("Decreto Um", "Decreto Um\na"), ("Decreto Dois", "Decreto Dois\nb")]
-    assert parsing.FoldedText("aaaa").places("aa") == [0, 1, 2]
+@pytest.mark.parametrize("parser", parsing.PARSERS)
+def test_no_python_runs_and_ids_may_repeat(spark, parser):
+    pages = {"question_book": [BOOK], "old_mock": [MOCK], "combined_book": BOOK_PAGES, "single_book": BOOK_PAGES}[parser]
+    df = spark.createDataFrame([("a", pages), ("a", pages), (None, pages), ("b", None)], "doc_id string, pages array<string>").withColumns({c: F.lit("clash") for c in ("key", "id", "text", "at", "subject")})
+    out = parsing.parse_documents(df, parser, subject_col="subject")
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    counts = {r.doc_id: r["count"] for r in out.where("kind <> 'error'").groupBy("doc_id").count().collect()}
+    assert counts["a"] == 2 * counts[None] > 0
 
 
 def test_documents_become_rows_failures_and_errors(spark):
     docs = spark.createDataFrame([(1, [BOOK]), (2, ["nothing"]), (3, None)], "doc_id long, pages array<string>")
     out = parsing.parse_documents(docs, "question_book")
     assert sorted((r.doc_id, r.kind, r["count"]) for r in out.groupBy("doc_id", "kind").count().collect()) == [(1, "failure", 2), (1, "row", 2), (2, "error", 1), (3, "error", 1)]
+    assert parsing.parse_documents(docs.limit(0), "old_mock").count() == 0
 
 
 def test_lines_and_headings(spark):
@@ -96,4 +203,4 @@ def test_lines_and_headings(spark):
     assert [tuple(r) for r in parsing.contents_lines(docs, "d", "t").orderBy("place").collect()] == [(1, 1, "One", 4), (1, 3, "Two", 7)]
     p = spark.createDataFrame([(1, 0, "Normal", "drop"), (1, 1, "Heading 1", "H"), (1, 2, "Normal", "a"), (1, 3, "Heading 1", "I")], "d int, idx int, style string, t string")
     out = parsing.passage_rows(parsing.heading_segments(p.withColumn("h", F.col("style") == "Heading 1"), "d", "idx", "h", "t"))
-    assert [(r.ordem, r.tema, r.trecho, r.pagina) for r in out.orderBy("ordem").collect()] == [(0, "H", "H\na", None), (1, "I", "I", None)]
+    assert [(r.ordem, r.tema, r.trecho, r.pagina) for r in out.orderBy("ordem").collect()] == [(0, "H", "H a", None), (1, "I", "I", None)]
