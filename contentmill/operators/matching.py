@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from contentmill.functions.text import fold, names_match, quotation_key, tokens
 from contentmill.operators.anchors import contained
 
-#: Characters that block two names for a fuzzy join: matching tokens share their first ones.
-BLOCK_CHARS = 2
+#: Names of one block of a fuzzy join, and the most keys that are dealt out in several; a key beyond those has
+#: less than one in ``HOT_KEYS`` of all index rows.
+BLOCK_NAMES, HOT_KEYS = 1000, 1000
+#: Rows that one task may take of a key in order, and the stretches that a larger key is cut into.
+SPLIT_ROWS, STRETCHES = 200_000, 256
 
 
 def latest_row_join(old: DataFrame, new: DataFrame, keys: Sequence[str], position: str, *, value: str, changed: str) -> DataFrame:
@@ -23,17 +26,69 @@ def latest_row_join(old: DataFrame, new: DataFrame, keys: Sequence[str], positio
     return new.join(last, list(keys)).where((F.col(changed) != F.col(f"old.{changed}")) & F.col(value).rlike(r"(?U)\S"))
 
 
+def _stretches(rows: DataFrame, by: Sequence[str], position: str) -> DataFrame | None:
+    """Keys with many rows and the positions that cut them into ``STRETCHES`` of about as many rows; None without any.
+
+    Such a key has over ``SPLIT_ROWS`` rows and over one in ``STRETCHES`` of all, so there
+    are fewer than ``STRETCHES`` of them to hold on the driver.
+    """
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    least = max(SPLIT_ROWS, (total or 0) / STRETCHES)
+    if (most or 0) <= least:
+        return None
+    names = [f"_k{i}" for i in range(len(by))]
+    hot = sizes.where(F.col("_n") > least).select(*[F.col(c).alias(k) for c, k in zip(by, names, strict=True)])
+    some = rows.select(*by, position).join(F.broadcast(hot), _same(by), "inner")
+    cuts = some.groupBy(*names).agg(F.percentile_approx(position, [i / STRETCHES for i in range(1, STRETCHES)], F.lit(10 * STRETCHES)).alias("_cuts"))
+    return rows.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+
+
+def _same(by: Sequence[str]) -> Column:
+    """The keys ``by`` are those of ``_k0``, ``_k1``, ...; nulls are the same."""
+    here = F.lit(True)
+    for i, c in enumerate(by):
+        here = here & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return here
+
+
+def _running(rows: DataFrame, by: Sequence[str], position: str, order: Sequence, values: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """``rows`` with a running value for each name, in ``order`` from ``position`` on, by key.
+
+    A value is given over a window and over a group, and stands until there is a next one.
+    A key with a large part of the rows is dealt out in stretches of positions, and the
+    last values of a stretch are carried over to the later ones.
+    """
+    cuts = _stretches(rows, by, position)
+    window = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if cuts is None:
+        return rows.withColumns({name: over.over(window(*by)) for name, (over, _) in values.items()})
+    keys = [c for c in cuts.columns if c != "_cuts"]
+    dealt = rows.join(F.broadcast(cuts), _same(by), "left").drop(*keys)
+    before = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(position))))
+    dealt = dealt.withColumns({"_hot": F.col("_cuts").isNotNull(), "_stretch": before}).drop("_cuts")
+    lasts = dealt.where("_hot").groupBy(*by, "_stretch").agg(*[of.alias(name) for name, (_, of) in values.items()])
+    every = cuts.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_at"))
+    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.join(lasts, _same(by) & (F.col("_at") == F.col("_stretch")), "left").select(*keys, "_at", *[F.last(name, ignorenulls=True).over(earlier).alias(f"_before{i}") for i, name in enumerate(values)])
+    found = dealt.withColumns({name: over.over(window(*by, "_stretch")) for name, (over, _) in values.items()})
+    found = found.join(F.broadcast(carried), _same(by) & (F.col("_at") == F.col("_stretch")), "left")
+    return found.withColumns({name: F.coalesce(name, f"_before{i}") for i, name in enumerate(values)}).drop(*keys, "_at", "_stretch", "_hot", *[f"_before{i}" for i in range(len(values))])
+
+
 def asof_backward(probes: DataFrame, anchors: DataFrame, by: Sequence[str], position: str, label: str, *, out: str | None = None) -> DataFrame:
     """Each probe with the label of the latest anchor at or before it, else null.
 
     One shuffle: both sides are united and the label is carried forward in order; at one
-    position anchors come first. A null label isn't carried.
+    position anchors come first. A null label isn't carried. A key with a large part of the
+    rows is spread over many tasks (``_running``).
     """
     out = out or label
     p = probes.withColumns({"_side": F.lit(1), "_label": F.lit(None).cast(anchors.schema[label].dataType), "_all": F.struct(*probes.columns)}).select(*by, position, "_side", "_label", "_all")
     a = anchors.withColumns({"_side": F.lit(0), "_label": F.col(label), "_all": F.lit(None).cast(p.schema["_all"].dataType)}).select(*by, position, "_side", "_label", "_all")
-    order = Window.partitionBy(*by).orderBy(position, "_side", F.col("_label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = p.unionByName(a).withColumn("_seen", F.last("_label", ignorenulls=True).over(order))
+    last = F.max_by("_label", F.when(F.col("_label").isNotNull(), F.struct(position, "_label")))
+    order = [position, "_side", F.col("_label").asc_nulls_first()]
+    seen = _running(p.unionByName(a), by, position, order, {"_seen": (F.last("_label", ignorenulls=True), last)})
     return seen.where("_side = 1").select("_all.*", F.col("_seen").alias(out))
 
 
@@ -44,9 +99,8 @@ def inside_item(probes: DataFrame, starts: DataFrame, ends: DataFrame, by: Seque
     kind = p.schema["_all"].dataType
     s = starts.select(*by, position, F.lit(None).cast(kind).alias("_all"), F.col(position).cast("long").alias("_s"), none.alias("_e"), F.lit(0).alias("_side"))
     e = ends.select(*by, position, F.lit(None).cast(kind).alias("_all"), none.alias("_s"), F.col(position).cast("long").alias("_e"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(*by).orderBy(position, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = p.unionByName(s).unionByName(e).withColumns({"_s": F.max("_s").over(order), "_e": F.max("_e").over(order)})
-    return latest.where("_side = 1").select("_all.*", (F.coalesce("_s", F.lit(-1)) > F.coalesce("_e", F.lit(-1))).alias("inside"))
+    latest = _running(p.unionByName(s).unionByName(e), by, position, [position, "_side"], {"_start": (F.max("_s"), F.max("_s")), "_end": (F.max("_e"), F.max("_e"))})
+    return latest.where("_side = 1").select("_all.*", (F.coalesce("_start", F.lit(-1)) > F.coalesce("_end", F.lit(-1))).alias("inside"))
 
 
 def first_interval(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, *, start: str, end: str, order: str, value: str) -> DataFrame:
@@ -64,22 +118,81 @@ def first_interval(points: DataFrame, spans: DataFrame, by: Sequence[str], at: s
     return first.select(*points.columns, found.alias(value), F.explode(F.expr("sequence(1L, _copies)"))).drop("col")
 
 
-def _blocked(names: DataFrame, column: str) -> DataFrame:
-    """Different names with the first characters of each of their tokens, for an equi-join."""
-    folded = names.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_folded", fold(F.col(column)))
-    starts = F.array_distinct(F.transform(tokens(F.col("_folded")), lambda t: F.substring(t, 1, BLOCK_CHARS)))
-    return folded.withColumn("_block", F.explode(starts))
+def _worded(names: DataFrame, column: str) -> DataFrame:
+    """Different names with their folded form and tokens; names without tokens match nothing."""
+    folded = names.select(F.col(column).alias("name")).where("name is not null").distinct().withColumn("folded", fold(F.col("name")))
+    return folded.withColumn("words", tokens(F.col("folded"))).where(F.size("words") > 0)
+
+
+def _begins(word: Column, upto: Column) -> Column:
+    """The word's beginnings of two letters to ``upto``; none for numbers."""
+    sizes = F.when(word.rlike("^[0-9]+$") | (upto < 2), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(2), upto))
+    return F.transform(sizes, lambda n: F.substring(word, F.lit(1), n))
+
+
+def _index_keys(word: Column) -> Column:
+    """Under what a word is found: ``=`` itself, ``<`` each beginning that is shorter."""
+    return F.concat(F.array(F.concat(F.lit("="), word)), F.transform(_begins(word, F.length(word) - 1), lambda p: F.concat(F.lit("<"), p)))
+
+
+def _probe_keys(word: Column) -> Column:
+    """Keys of the words that are the same as this one: itself, its beginnings as words, and words that it begins."""
+    itself = F.array(F.concat(F.lit("="), word))
+    shorter = F.transform(_begins(word, F.length(word) - 1), lambda p: F.concat(F.lit("="), p))
+    longer = F.transform(F.filter(_begins(word, F.length(word)), lambda p: p == word), lambda p: F.concat(F.lit("<"), p))
+    return F.concat(itself, shorter, longer)
+
+
+def _within_candidates(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of names (``short``, ``long``) that meet in the short one's rarest token.
+
+    Each token of a run is the same as one of the longer name, so one token is enough to
+    meet by: the one that the fewest names of the other side have a word for. The keys with
+    the most names, up to ``HOT_KEYS``, are dealt out in blocks of about ``BLOCK_NAMES``.
+    """
+    index = long.select(F.col("name").alias("long"), F.explode(F.array_distinct(F.flatten(F.transform("words", _index_keys)))).alias("key"))
+    often = index.groupBy("key").agg(F.count("*").alias("rows"))
+    probes = short.select(F.col("name").alias("short"), F.posexplode("words").alias("place", "word")).select("short", "place", F.explode(_probe_keys(F.col("word"))).alias("key"))
+    met = probes.join(often, "key", "left").groupBy("short", "place").agg(F.sum(F.coalesce("rows", F.lit(0))).alias("rows"), F.collect_list(F.when(F.col("rows") > 0, F.col("key"))).alias("keys"))
+    # A token that no name has a word for rules its name out.
+    rarest = met.groupBy("short").agg(F.min_by("keys", F.struct("rows", "place")).alias("keys"), F.min("rows").alias("rows")).where("rows > 0")
+    probes = rarest.select("short", F.explode("keys").alias("key"))
+    return _dealt(probes, index, often)
+
+
+def _dealt(probes: DataFrame, index: DataFrame, often: DataFrame) -> DataFrame:
+    """Probes and index joined by ``key``, keys over the bound in blocks of index rows that each probe visits."""
+    hot = often.where(F.col("rows") > BLOCK_NAMES).orderBy(F.desc("rows"), "key").limit(HOT_KEYS)
+    hot = F.broadcast(hot.select("key", F.ceil(F.col("rows") / BLOCK_NAMES).alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    held = index.join(hot, "key", "left").withColumn("block", F.pmod(F.xxhash64("long"), blocks)).drop("blocks")
+    asked = probes.join(hot, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("blocks")
+    return asked.join(held, ["key", "block"]).select("short", "long")
+
+
+def candidate_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of names to compare, each name of ``left`` and ``right`` with its ``words``.
+
+    The name with fewer words is looked up among the others; of as many, the left one.
+    """
+    sized = lambda df: df.withColumn("n", F.size("words"))
+    a, b = sized(left), sized(right)
+    one, two = _within_candidates(a, b), _within_candidates(b, a)
+    sizes = lambda pairs, x, y: pairs.distinct().join(a.select(F.col("name").alias("a"), F.col("n").alias("na"), F.col("folded").alias("a_folded")), F.col(x) == F.col("a")).join(b.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("folded").alias("b_folded")), F.col(y) == F.col("b"))
+    upward = sizes(one, "short", "long").where("na <= nb")
+    downward = sizes(two, "long", "short").where("na > nb")
+    columns = ["a", "b", "a_folded", "b_folded"]
+    return upward.select(*columns).unionByName(downward.select(*columns))
 
 
 def matching_names(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
     """Pairs of different names, one of each side, of which one's tokens are a run of the other's.
 
-    Tokens that are the same share their first characters (a shorter one of at least two
-    begins the longer), so names meet by those and no cross product is made.
+    Names meet in the rarest token of the one with fewer tokens (``candidate_names``); all
+    but those pairs are never made.
     """
-    a = _blocked(left, left_col).toDF("a", "a_folded", "_block")
-    b = _blocked(right, right_col).toDF("b", "b_folded", "_block")
-    return a.join(b, "_block").select("a", "b", "a_folded", "b_folded").distinct().where(names_match(F.col("a_folded"), F.col("b_folded"))).select("a", "b")
+    pairs = candidate_names(_worded(left, left_col), _worded(right, right_col))
+    return pairs.where(names_match(F.col("a_folded"), F.col("b_folded"))).select("a", "b")
 
 
 def fuzzy_semi(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:

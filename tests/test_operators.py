@@ -4,10 +4,12 @@ import random
 import re
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contentmill.operators import catalog, draws, generation, matching, store
+from contentmill.functions import text
+from contentmill.operators import anchors, catalog, draws, generation, matching, store
 from contentmill.sources import files
 
 T = dt.datetime
@@ -136,6 +138,62 @@ def test_fuzzy_joins_make_no_cross_product(spark):
     assert "Join Cross" not in plan and "Cartesian" not in plan
 
 
+def test_a_hot_key_is_cut_into_stretches(spark, monkeypatch):
+    """Half of the rows under one key: the same rows as without cuts, over many groups of the window."""
+    rng = random.Random(9)
+    rows_of = lambda n, of: [(rng.choice((None, 1, 1, 1, 2, 3)), rng.choice((None, *range(300))), of(i)) for i in range(n)]
+    probes = spark.createDataFrame(rows_of(800, lambda i: i), "d int, p int, x int")
+    anchors_ = spark.createDataFrame(rows_of(60, lambda i: rng.choice((None, "a", "b", "c"))), "d int, p int, l string")
+    ends = anchors_.select("d", (F.col("p") + 3).alias("p"))
+
+    def both():
+        return sorted(map(repr, rows(matching.asof_backward(probes, anchors_, ["d"], "p", "l")))), sorted(map(repr, rows(matching.inside_item(probes, anchors_, ends, ["d"], "p"))))
+
+    plain = both()
+    monkeypatch.setattr(matching, "SPLIT_ROWS", 50)
+    monkeypatch.setattr(matching, "STRETCHES", 16)
+    assert both() == plain
+    cuts = {r._k0: r._cuts for r in matching._stretches(probes, ["d"], "p").collect()}
+    assert 1 in cuts and len(set(cuts[1])) == 15
+    at = [r.p or 0 for r in probes.where("d = 1").collect()]
+    sizes = [sum(lo < x <= hi for x in at) for lo, hi in zip([-1, *cuts[1]], [*cuts[1], 999], strict=True)]
+    assert max(sizes) < len(at) / 5
+    text_keys = lambda df: df.withColumn("d", F.col("d").cast("string")).withColumn("p", F.timestamp_seconds("p"))
+    assert matching.asof_backward(text_keys(probes), text_keys(anchors_), ["d"], "p", "l").groupBy("l").count().count() >= 3
+
+
+def test_fuzzy_names_meet_in_their_rarest_token(spark, monkeypatch):
+    """Zipfian words: all pairs equal brute force, and few are compared."""
+    rng = random.Random(11)
+    words = ["de", "direito", "dir", "penal", "pen", "ii", "2", "bloco", "a", *(f"w{i}x{i % 7}" for i in range(150))]
+    name = lambda: " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(len(words))], k=rng.randrange(1, 6)))
+    left, right = sorted({name() for _ in range(300)}), sorted({name() for _ in range(300)} | {"De", "..."})
+    same = lambda x, y: x == y or (not x.isdigit() and not y.isdigit() and min(len(x), len(y)) >= 2 and (x.startswith(y) or y.startswith(x)))
+
+    def match(a, b):
+        x, y = ([text.ROMAN.get(t, t) for t in text.fold_text(n).split()] for n in (a, b))
+        s, t = (x, y) if len(x) <= len(y) else (y, x)
+        return bool(s) and any(all(map(same, s, t[i:])) for i in range(len(t) - len(s) + 1))
+
+    a, b = (spark.createDataFrame([(n,) for n in names], "m string") for names in (left, right))
+    expected = sorted((x, y) for x in left for y in right if match(x, y))
+    for bound in (1000, 5):
+        monkeypatch.setattr(matching, "BLOCK_NAMES", bound)
+        assert sorted(map(tuple, matching.matching_names(a, "m", b, "m").collect())) == expected
+    compared = matching.candidate_names(matching._worded(a, "m"), matching._worded(b, "m")).count()
+    assert len(expected) <= compared < 3 * len(expected) < len(left) * len(right) / 8
+
+
+def test_hot_blocks_of_names_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_NAMES", 50)
+    index = spark.createDataFrame([(f"n{i}", "=de") for i in range(900)] + [("m", "=x")], "long string, key string")
+    probes = spark.createDataFrame([("p", "=de"), ("q", "=x"), ("r", "=y")], "short string, key string")
+    often = index.groupBy("key").agg(F.count("*").alias("rows"))
+    met = matching._dealt(probes, index, often)
+    assert met.count() == 901 and met.where("short = 'p'").distinct().count() == 900
+    assert "hashpartitioning(key" in met._jdf.queryExecution().toString() and ", block" in met._jdf.queryExecution().toString()
+
+
 def test_zip(spark):
     a = spark.createDataFrame([(1, i) for i in range(3)], "d int, o int")
     assert matching.zip_positional(a, a.where("o < 2"), ["d"], "o").count() == 2
@@ -252,3 +310,18 @@ def test_literal_matches_equal_brute_force(spark):
     assert sorted(rows(found, "p", "q")) == expected and len(expected) > 100
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_anchors_of_long_strings_take_few_rows(spark):
+    """A quotation of a megabyte makes ``PICKS`` rows, and is found across chunks and batches."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh é", k=1_200_000))
+    strings = spark.createDataFrame([(1, long[5:1_100_000]), (2, long[:70]), (3, "h"), (4, long[10:20] + "zz"), (5, "é")], "q int, s string")
+    parts = [b for b in anchors._picked([pa.record_batch([pa.array(["k"] * 2), pa.array([long, "é"])], ["key", "string"])])]
+    assert [b.num_rows for b in parts] == [anchors.PICKS + 1]
+    texts = spark.createDataFrame([(1, "x" + long), (2, None), (3, ""), (4, "é"), (5, long[:75]), (6, "z" * 40)], "p int, t string").coalesce(1)
+    assert sorted(rows(anchors.contained(texts, "t", strings, "s"), "p", "q")) == [(1, 1), (1, 2), (1, 3), (1, 5), (4, 5), (5, 2), (5, 3), (5, 5)]
+    assert anchors.contained(texts, "t", strings.limit(0), "s").count() == 0 and anchors.contained(texts.limit(0), "t", strings, "s").count() == 0
+    # Windows across two texts of a batch don't count.
+    pair = spark.createDataFrame([(1, "ab"), (2, "cd")], "p int, t string").coalesce(1)
+    assert anchors.contained(pair, "t", spark.createDataFrame([(1, "bc"), (2, "cd")], "q int, s string"), "s").count() == 1
