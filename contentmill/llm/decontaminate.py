@@ -12,6 +12,8 @@ from contentmill.llm.workspace import Workspace
 
 #: Seeds read the words at 1 and ignore those at 0.
 MASKS = ("11111", "111011", "110111", "1101101", "1011011", "11010011", "101111", "111101")
+#: Items with fewer words than this are found by the hash of all of them, under a mask of their own length.
+WHOLE = 5
 #: A hit counts if, of so many aligned words of the item (all, if it has fewer), this share agrees.
 SPAN, AGREEING = 20, 0.8
 #: Words kept on either side of hits for verifying.
@@ -26,6 +28,11 @@ BREAKS = np.ones(256, dtype=bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def _masks(lengths) -> list[tuple[int, str]]:
+    """Numbers and masks: all of ``MASKS``, and one of ones for each length of a short item."""
+    return [*enumerate(MASKS), *((len(MASKS) + n, "1" * n) for n in sorted(lengths))]
+
+
 def _mask_hashes(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     """One hash for each place at which the mask fits."""
     size = len(words) - len(mask) + 1
@@ -44,10 +51,11 @@ def _item_seeds(batches):
         for block in blocks(batch.column(1), BREAKS):
             for i, row in enumerate(range(block.first, block.last)):
                 words = block.words[block.word_at[i] : block.word_at[i + 1]]
-                found = [_mask_hashes(words, m, k) for k, m in enumerate(MASKS)]
+                short = [len(words)] if 0 < len(words) < WHOLE else []
+                found = [_mask_hashes(words, m, k) for k, m in _masks(short)]
                 n = sum(map(len, found))
                 at = np.concatenate([np.arange(len(x)) for x in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, row))), pa.array(at), pa.array(np.concatenate(found).view(np.int64))], ["item_id", "at", "seed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, row))), pa.array(at), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.full(n, short[0] if short else 0, dtype=np.int32))], ["item_id", "at", "seed", "short"])
 
 
 def _item_words(batches):
@@ -85,14 +93,15 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return at[test((hashes[at] >> np.uint64(FINE_BITS)) & fine) == 1]
 
 
-def _hits(bitmap, margin: int):
-    """Arrow batches (id, text) -> clusters of hits with the words around them."""
+def _hits(bitmap, margin: int, lengths: list[int]):
+    """Arrow batches (id, text) -> clusters of hits with the words around them; ``lengths`` are those of short items."""
+    masks = _masks(lengths)
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(1), BREAKS):
                 found = []
-                for k, mask in enumerate(MASKS):
+                for k, mask in masks:
                     hashes = _mask_hashes(block.words, mask, k)
                     at = _passes(bitmap.value, hashes)
                     found.append((at, hashes[at], np.full(len(at), len(mask))))
@@ -143,7 +152,7 @@ def _verify(span: int, agreeing: float):
                 equal[a - first : b - first] = x[a - lo : b - lo] == y[a:b]
                 same = np.concatenate([[0], np.cumsum(equal)])
                 most = int((same[size:] - same[:-size]).max())
-                if most >= max(min(size, 5), agreeing * size):
+                if most >= max(min(size, WHOLE), agreeing * size):
                     keep.append(i)
                     best.append((most, size))
             rows = pa.array(keep, pa.int64())
@@ -160,11 +169,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     on the line of a hit, in some ``span`` consecutive words of the item (all of them, if
     it has fewer), at least ``agreeing`` of the words are equal, so substitutions are
     tolerated; item words beyond the document's start or end count as unequal; case and
-    ASCII punctuation don't count. One row for each pair: the ids,
+    ASCII punctuation don't count. Items of one to four words are found where all of their
+    words stand in order, by the hash of their whole sequence. One row for each pair: the ids,
     ``agreeing`` and ``compared`` words at the best place.
 
-    Null and empty texts, rows with a null id, and items of fewer than five words match
-    nothing; ids of both may have any type; repeated rows give one pair, and rows that
+    Null and empty texts, items without words, and rows with a null id match nothing; ids of both may have any type; repeated rows give one pair, and rows that
     repeat an id with different texts count together; texts of any length are read whole;
     other columns are ignored; without documents or items the result is empty. A line is
     compared up to ``MARGIN`` words beyond its hits, which is more than any window of
@@ -176,11 +185,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     item_type, doc_type = items.schema["item_id"].dataType.simpleString(), texts.schema["doc_id"].dataType.simpleString()
     margin = max(MARGIN, 2 * span)
-    seeds = ws.table(items.mapInArrow(_item_seeds, f"item_id {item_type}, at long, seed long").withColumnRenamed("at", "item_at"), "seeds")
+    seeds = ws.table(items.mapInArrow(_item_seeds, f"item_id {item_type}, at long, seed long, short int").withColumnRenamed("at", "item_at"), "seeds")
+    lengths = [r[0] for r in seeds.where("short > 0").select("short").distinct().collect()]  # four at most
     bitmap = spark.sparkContext.broadcast(seed_filter(seeds))
-    hits = texts.mapInArrow(_hits(bitmap, margin), f"doc_id {doc_type}, start long, near array<long>, at array<long>, seed array<long>")
+    hits = texts.mapInArrow(_hits(bitmap, margin, lengths), f"doc_id {doc_type}, start long, near array<long>, at array<long>, seed array<long>")
     hits = ws.table(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
-    met = hits.select("row", "doc_id", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("row", "doc_id", "h.at", "h.seed").join(seeds, "seed")
+    met = hits.select("row", "doc_id", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("row", "doc_id", "h.at", "h.seed").join(seeds.drop("short"), "seed")
     lines = met.select("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     words = ws.table(items.mapInArrow(_item_words, f"item_id {item_type}, item array<long>"), "items")
     aligned = lines.join(hits.select("row", "doc_id", "start", "near"), "row").join(words, "item_id").select("doc_id", "item_id", "start", "near", "shift", "item")

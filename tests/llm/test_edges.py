@@ -8,7 +8,7 @@ import corpus_pipeline
 from contentmill.llm import decontaminate, embedding_dedup, html_text, licenses, mixing, ngram_join, pii, quality, secrets, url_filter
 
 # Names that operators use inside.
-CLASH = ("id", "row", "node", "n", "score", "spans", "start", "kind", "tokens", "key", "block", "gram", "side", "y", "x", "component", "seed", "share", "host", "segments", "_row", "_n", "rank", "best", "label_", "window")
+CLASH = ("id", "row", "node", "n", "score", "spans", "start", "kind", "tokens", "key", "block", "gram", "side", "y", "x", "component", "seed", "share", "host", "segments", "_row", "_n", "rank", "best", "label_", "window", "_text", "_place", "_all", "_pieces", "hash", "doc", "short", "item_at")
 LONG = "some words of a very long text that goes on, " * 25_000
 SHORT = "a plain document with some words in it that is not long at all"
 

@@ -545,9 +545,9 @@ def test_decontamination_tolerates_substitutions(spark):
     texts = [" ".join(d) for d in docs] + [None, "", " ".join(items[1]).upper().replace(" ", ", "), docs and " ".join(docs[0])]
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None), (None, "a b c d e f")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, texts).repartition(3), bench).collect()}
-    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (10, 1), (11, 0)}
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (6, 3), (10, 1), (11, 0)}
     kept = decontaminate.decontaminate(table(spark, texts), bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8, 9] and kept.columns == table(spark, texts).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5, 7, 8, 9] and kept.columns == table(spark, texts).columns
     assert decontaminate.contaminated(table(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(table(spark, texts).limit(0), bench).count() == 0
 
@@ -562,6 +562,14 @@ def test_decontamination_at_the_edges_of_documents(spark):
     assert {g for g in got if g[1] == 1} == {(0, 1, 15, 15), (3, 1, 15, 15), (4, 1, 15, 15), (6, 1, 15, 15), (7, 1, 12, 15), (8, 1, 12, 15)}
 
 
+def test_decontamination_finds_short_items_whole(spark):
+    items = ["The answer is four", "blue whale", "zebra", "one two three", "...", "one two three four five"]
+    texts = ["question: the answer is four", "the answer is Four!", "the answer is five", "answer is four", "a blue, whale", "blue", "whale blue", "zebra", "zebras", "one two three four", "x one two three", "one two", "one two three four five", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.agreeing, r.compared) for r in decontaminate.contaminated(table(spark, texts).repartition(3), bench).collect()}
+    assert got == {(0, 0, 4, 4), (1, 0, 4, 4), (4, 1, 2, 2), (7, 2, 1, 1), (9, 3, 3, 3), (10, 3, 3, 3), (12, 3, 3, 3), (12, 5, 5, 5)}
+
+
 def test_decontamination_finds_any_substitution_in_six_words(spark):
     item = [f"item{i}" for i in range(6)]
     texts = [" ".join(["before", *item[:i], "other", *item[i + 1 :], "after"]) for i in range(6)]
