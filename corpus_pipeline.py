@@ -6,7 +6,7 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentmill.llm.decontaminate import decontaminate
@@ -31,12 +31,12 @@ def ngram_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     for as many documents; of equal rows of an id one stays. Texts without words aren't
     grouped, nor are rows without an id: those all stay.
     """
-    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
-    found = ngram_jaccard_join(named.select(F.struct("doc_id", "_text").alias("doc"), "text"), id_col="doc")
-    kept = found.where("n_shingles = 0 or doc = component_id").select("doc.doc_id", "doc._text").distinct()
-    order = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
-    one = named.join(kept, ["doc_id", "_text"], "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    # The row is packed up, so that no column of it can clash with those beside it.
+    packed = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").alias("text"))
+    found = ngram_jaccard_join(packed.select(F.struct("id", "hash").alias("doc"), "text"), id_col="doc")
+    kept = found.where("n_shingles = 0 or doc = component_id").select("doc.id", "doc.hash").distinct()
+    one = packed.join(kept, ["id", "hash"], "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
