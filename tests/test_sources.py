@@ -82,4 +82,24 @@ def test_intake_is_idempotent(spark, tmp_path):
     run(0)
     run(0)
     run(1)
-    assert sorted(r.k for r in files.read_latest(spark, str(tmp_path / "t"), "k string").collect()) == ["a", "b"]
+    assert sorted(r.k for r in intake.stored_rows(spark, str(tmp_path / "t"), "k string").collect()) == ["a", "b"]
+
+
+def test_a_batch_opens_only_the_buckets_of_its_keys(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), "k long, x string"
+    add = lambda rows: intake.add_rows(spark.createDataFrame(rows, "k long, x string, o int, more int"), root, schema=schema, keys=["k"], order="o", buckets=16)
+    add([])
+    assert intake.stored_rows(spark, root, schema).count() == 0
+    add([(i, "old", i, 0) for i in range(60)])
+    of = {r.k: r.b for r in spark.range(200).withColumnRenamed("id", "k").withColumn("b", intake.bucket_of(["k"], 16)).collect()}
+    bad = of[3]
+    for f in (tmp_path / "t" / f"_bucket={bad}").glob("part-*"):
+        f.write_bytes(b"damaged")
+    good = [k for k in range(200) if of[k] != bad]
+    add([(k, x, o, 0) for k in good for x, o in (("new", 1), ("again", 2))])
+    kept = [b for b in range(16) if b != bad]
+    assert {r.k: r.x for r in intake.stored_rows(spark, root, schema, kept).collect()} == {k: "old" if k < 60 else "new" for k in good}
+    with pytest.raises(Exception, match="(?i)parquet|damaged|footer"):
+        add([(3, "x", 1, 0)])
+    plan = intake.stored_rows(spark, root, schema, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan and " IN (1,2)" in plan
