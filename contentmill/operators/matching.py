@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,31 +231,39 @@ def common_subsequence(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     From the start, equal items pair; otherwise the left side advances unless only
     advancing the right keeps the length.
 
-    For each suffix of ``a``, ``reach`` holds how far right in ``b`` a common subsequence of
-    1, 2, ... items can begin (negated, so ascending); one item changes few entries, found
-    by bisection over the positions of that item in ``b``.
+    A row holds, for one suffix of ``a``, the lengths with all suffixes of ``b``. Rows are
+    made from the last up, and one in about sqrt(len(a)) is kept; on the way back each
+    stretch between two kept ones is made again. So memory is sqrt(len(a)) times len(b).
     """
-    positions: dict = {}
-    for j, item in enumerate(b):
-        positions.setdefault(item, []).append(j)
-    reach: list[list[int]] = [[]]
-    for item in reversed(a):
-        row = list(reach[-1])
-        for j in positions.get(item, ()):
-            k = bisect_left(row, -j)
-            row[k : k + 1] = [-j]
-        reach.append(row)
-    reach.reverse()
-
-    def length(i: int, j: int) -> int:
-        return bisect_right(reach[i], -j)
-
-    pairs, i, j = [], 0, 0
-    while length(i, j):
-        if a[i] == b[j]:
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(item, len(codes)) for item in side], dtype=np.int64) for side in (a, b))
+    n, m = len(x), len(y)
+    size = np.uint16 if min(n, m) < 1 << 16 else np.int32
+    step = max(1, round(n**0.5))
+
+    def rows(below: np.ndarray, first: int, last: int):
+        """Rows ``last`` - 1 down to ``first``, given row ``last``."""
+        for i in range(last - 1, first - 1, -1):
+            row = np.zeros(m + 1, dtype=size)
+            np.maximum(below[:-1], np.where(y == x[i], below[1:] + size(1), size(0)), out=row[:-1])
+            below = np.maximum.accumulate(row[::-1])[::-1]
+            yield i, below
+
+    kept = {n: np.zeros(m + 1, dtype=size)}
+    for i, row in rows(kept[n], 0, n):
+        if i % step == 0:
+            kept[i] = row
+    pairs, i, j, near = [], 0, 0, {}
+    while i < n and j < m:
+        if i + 1 not in near:
+            stop = min(n, i - i % step + step)
+            near = dict([(stop, kept[stop]), *rows(kept[stop], i, stop)])
+        if not near[i][j]:
+            break
+        if x[i] == y[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif length(i + 1, j) == length(i, j):
+        elif near[i + 1][j] == near[i][j]:
             i += 1
         else:
             j += 1

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import random
 import re
+import tracemalloc
 import uuid
 
 import pyarrow as pa
@@ -138,6 +139,17 @@ def test_fuzzy_joins_make_no_cross_product(spark):
     assert "Join Cross" not in plan and "Cartesian" not in plan
 
 
+def test_long_sequences_align_in_little_memory():
+    rng = random.Random(12)
+    a = [rng.randrange(2000) for _ in range(8000)]
+    b = [x for x in a if rng.random() < 0.9]
+    tracemalloc.start()
+    pairs = matching.common_subsequence(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == len(b) and all(a[i] == b[j] for i, j in pairs) and most < 8 << 20
+
+
 def test_a_hot_key_is_cut_into_stretches(spark, monkeypatch):
     """Half of the rows under one key: the same rows as without cuts, over many groups of the window."""
     rng = random.Random(9)
