@@ -103,17 +103,60 @@ def inside_item(probes: DataFrame, starts: DataFrame, ends: DataFrame, by: Seque
     return latest.where("_side = 1").select("_all.*", (F.coalesce("_start", F.lit(-1)) > F.coalesce("_end", F.lit(-1))).alias("inside"))
 
 
+def _whole(df: DataFrame, column: str) -> Column:
+    """A position as a whole number that keeps its order: days of dates, microseconds of timestamps, else the floor."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(column)
+    return F.unix_date(c).cast("bigint") if kind == "date" else F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else F.floor(c).cast("bigint")
+
+
+def _bins(low: Column, high: Column) -> Column:
+    """The aligned dyadic bins, structs of level and number, that a span of whole numbers falls into: two a level at most."""
+    width = F.when(high >= low, F.log2((high - low + 1).cast("double")))
+    levels = F.when(width.isNotNull(), F.sequence(F.lit(0), F.floor(width).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
+    bin_ = lambda level, number: F.array(F.struct(level.alias("level"), number.alias("number")))
+
+    def step(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        odd, even, none = lo % 2 != 0, hi % 2 == 0, F.slice(acc["out"], 1, 0)
+        first = F.when((lo <= hi) & odd, bin_(level, lo)).otherwise(none)
+        from_ = F.when(odd, lo + 1).otherwise(lo)
+        last = F.when((from_ <= hi) & even, bin_(level, hi)).otherwise(none)
+        to = F.when(even, hi - 1).otherwise(hi)
+        return F.when(lo > hi, acc).otherwise(F.struct(F.shiftright(from_, 1).alias("lo"), F.shiftright(to, 1).alias("hi"), F.concat(acc["out"], first, last).alias("out")))
+
+    start = F.struct(low.alias("lo"), high.alias("hi"), F.array().cast("array<struct<level:int,number:bigint>>").alias("out"))
+    return F.aggregate(levels, start, step, lambda acc: acc["out"])
+
+
+def _span_candidates(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, start: str, end: str, carried: Mapping[str, str]) -> DataFrame:
+    """Points with spans (``carried``: new names of their columns) that share a bin; a point without any has one row of nulls.
+
+    A span is cut into its bins, a point lies in one bin of each level in use (63 at most),
+    and the two meet by key, level and number. Bins hold nothing beyond the span, so only
+    real hits meet, however many spans and points a key has.
+    """
+    low, high = _whole(spans, start), _whole(spans, end)
+    binned = spans.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[F.col(c).alias(n) for c, n in carried.items()], F.explode(_bins(low, high)).alias("_bin")).select("*", F.col("_bin.level").alias("_level"), F.col("_bin.number").alias("_number")).drop("_bin")
+    levels = sorted(r[0] for r in binned.select("_level").distinct().collect())
+    own = _whole(points, at)
+    placed = points.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.shiftright(own, v).alias("number")) for v in levels or [0]])))
+    same = (F.col("_b.level") == F.col("_level")) & (F.col("_b.number") == F.col("_number"))
+    for i, c in enumerate(by):
+        same = same & (F.col(c) == F.col(f"_by{i}"))
+    return placed.join(binned, same, "left").drop("_b", "_level", "_number", *[f"_by{i}" for i in range(len(by))])
+
+
 def first_interval(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, *, start: str, end: str, order: str, value: str) -> DataFrame:
     """Each point with the value of the first span (by ``order``) that holds it, ends included; else null.
 
-    An empty value counts as null, but still ends the search. Equal points are looked up once.
+    An empty value counts as null, but still ends the search. Equal points are looked up
+    once. Points and spans of a key meet by dyadic bins, not all with all.
     """
     different = points.groupBy(*points.columns).agg(F.count("*").alias("_copies"))
-    side = spans.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(order).alias("_order"), F.col(value).alias("_value"))
+    met = _span_candidates(different, spans, by, at, start, end, {start: "_start", end: "_end", order: "_order", value: "_value"})
     here = F.col(at).between(F.col("_start"), F.col("_end"))
-    for i, c in enumerate(by):
-        here = here & (F.col(c) == F.col(f"_by{i}"))
-    first = different.join(side, here, "left").groupBy(*points.columns, "_copies").agg(F.min_by(F.struct("_value"), "_order").alias("_first"))
+    first = met.groupBy(*points.columns, "_copies").agg(F.min_by(F.struct("_value"), F.when(here, F.struct("_order"))).alias("_first"))
     found = F.nullif(F.col("_first._value").cast("string"), F.lit(""))
     return first.select(*points.columns, found.alias(value), F.explode(F.expr("sequence(1L, _copies)"))).drop("col")
 

@@ -139,6 +139,25 @@ def test_fuzzy_joins_make_no_cross_product(spark):
     assert "Join Cross" not in plan and "Cartesian" not in plan
 
 
+def test_points_and_spans_meet_by_bins(spark):
+    """One key with many spans and points: only hits meet, at any length of span, below zero too."""
+    rng = random.Random(13)
+    spans = [(1, lo, lo + rng.choice((-1, 0, 1, 2, 7, 40, 1000)), i, f"v{i % 7}" if i % 5 else "") for i in range(1500) for lo in (rng.randrange(-50_000, 50_000),)]
+    points = [(rng.choice((1, 1, 1, None, 2)), rng.choice((None, *(rng.randrange(-50_000, 50_000) for _ in range(30))))) for _ in range(1500)]
+    p, s = spark.createDataFrame(points, "d int, at long"), spark.createDataFrame(spans, "d int, lo long, hi long, o int, v string")
+    hits = sum(d == 1 and x is not None and lo <= x <= hi for d, x in points for _, lo, hi, _, _ in spans)
+    met = matching._span_candidates(p, s, ["d"], "at", "lo", "hi", {"o": "_o"})
+    assert met.where("_o is not null").count() == hits > 1000
+    first = lambda d, x: next((v or None for _, lo, hi, _, v in spans if d == 1 and x is not None and lo <= x <= hi), None)
+    found = matching.first_interval(p, s, ["d"], "at", start="lo", end="hi", order="o", value="v")
+    assert sorted(map(repr, rows(found, "d", "at", "v"))) == sorted(repr((d, x, first(d, x))) for d, x in points)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join LeftOuter, ((((" in plan.replace("\n", "") or "_number" in plan
+    halves = matching.first_interval(p.select("d", (F.col("at") + F.lit(0.5)).alias("at")), s, ["d"], "at", start="lo", end="hi", order="o", value="v")
+    half = lambda d, x: next((v or None for _, lo, hi, _, v in spans if d == 1 and x is not None and lo <= x + 0.5 <= hi), None)
+    assert sorted(map(repr, rows(halves, "d", "v"))) == sorted(repr((d, half(d, x))) for d, x in points)
+
+
 def test_long_sequences_align_in_little_memory():
     rng = random.Random(12)
     a = [rng.randrange(2000) for _ in range(8000)]
