@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentmill.llm.skew import join_hot
 from contentmill.llm.spans import SPAN, count, gated, joined, pieces, spans_in_context, tagged
 from contentmill.llm.workspace import Workspace
 
@@ -65,7 +66,7 @@ def _slots(found: Column, kind: str | None) -> Column:
 
 
 def learn_patterns(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """Trusted patterns (pattern, kind, confidence) that introduce identifiers.
+    """Trusted patterns (pattern, kind, confidence, and ``rows``, their occurrences) that introduce identifiers.
 
     ``edges`` (pattern, instance, kind) is the graph of patterns and instances; ``kind`` is
     null for what isn't a seed. Seeds are trusted with 1. In each round a pattern's
@@ -76,25 +77,28 @@ def learn_patterns(ws: Workspace, edges: DataFrame) -> DataFrame:
     end when no further pattern is trusted. All are sums and maxima by key, combined before
     shuffles; patterns with fewer instances than ``SEEDS_LEAST`` are dropped at the start.
     """
-    graph = edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"))
+    graph = edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.count("*").alias("times"))
     graph = ws.table(graph, "edges")
-    often = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS_LEAST).select("pattern")
-    graph = ws.table(graph.join(often, "pattern"), "graph")
-    scored = graph.select("pattern", "instance", "kind", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+    often = graph.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("times").alias("rows")).where(F.col("n") >= SEEDS_LEAST).drop("n")
+    # ``rows`` (a pattern's occurrences) and ``around`` (an instance's patterns) tell which keys are hot.
+    graph = ws.table(join_hot(graph.drop("times"), ws.table(often, "often"), ["pattern"], "rows"), "graph")
+    around = ws.table(graph.where("kind is null").groupBy("instance").agg(F.count("*").alias("around")), "around")
+    scored = graph.select("pattern", "instance", "kind", "rows", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("score"))
     known, step = -1, 0
     while True:
-        by_kind = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
+        by_kind = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.first("rows").alias("rows"))
         trusted = F.col("kind").isNotNull()
-        rated = by_kind.groupBy("pattern").agg(F.max_by("kind", F.when(trusted, F.struct("score", "kind"))).alias("kind"), F.sum("score").alias("score"), F.sum(F.when(trusted, F.col("n")).otherwise(0)).alias("trusted"), F.sum(F.when(trusted, 0).otherwise(F.col("n"))).alias("unknown"))
-        rated = rated.select("pattern", "kind", "trusted", (F.col("score") / (F.col("score") + UNKNOWN * F.col("unknown") + 1)).alias("confidence"))
-        patterns = ws.table(rated.where((F.col("trusted") >= SEEDS_LEAST) & (F.col("confidence") >= CONFIDENCE_LEAST)).select("pattern", "kind", "confidence"), f"patterns-{step}")
+        rated = by_kind.groupBy("pattern").agg(F.max_by("kind", F.when(trusted, F.struct("score", "kind"))).alias("kind"), F.sum("score").alias("score"), F.sum(F.when(trusted, F.col("n")).otherwise(0)).alias("trusted"), F.sum(F.when(trusted, 0).otherwise(F.col("n"))).alias("unknown"), F.first("rows").alias("rows"))
+        rated = rated.select("pattern", "kind", "trusted", "rows", (F.col("score") / (F.col("score") + UNKNOWN * F.col("unknown") + 1)).alias("confidence"))
+        patterns = ws.table(rated.where((F.col("trusted") >= SEEDS_LEAST) & (F.col("confidence") >= CONFIDENCE_LEAST)).select("pattern", "kind", "confidence", "rows"), f"patterns-{step}")
         now = patterns.count()
         if now == known or not now:
             return patterns
         known, step = now, step + 1
-        best = graph.where("kind is null").join(patterns.withColumnRenamed("kind", "told"), "pattern").groupBy("instance").agg(F.max(F.struct("confidence", "told")).alias("best"))
+        told = join_hot(graph.where("kind is null").drop("rows"), patterns.withColumnRenamed("kind", "told"), ["pattern"], "rows")
+        best = told.groupBy("instance").agg(F.max(F.struct("confidence", "told")).alias("best")).join(around, "instance")
         best = ws.table(best, f"instances-{step}")
-        scored = graph.join(best, "instance", "left").select("pattern", "instance", F.coalesce("kind", "best.told").alias("kind"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("best.confidence", F.lit(0.0))).alias("score"))
+        scored = join_hot(graph, best, ["instance"], "around", "left").select("pattern", "instance", "rows", F.coalesce("kind", "best.told").alias("kind"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("best.confidence", F.lit(0.0))).alias("score"))
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +149,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     edges = slots.select(F.explode(F.concat("seeds", "others")).alias("e")).select(F.explode("e.patterns").alias("pattern"), "e.instance", "e.kind")
     patterns = learn_patterns(ws, edges)
     # Occurrences in trusted patterns; those that a base span of the same text touches go.
-    loose = slots.select("row", F.explode("others").alias("o")).select("row", "o.start", "o.end", F.explode("o.patterns").alias("pattern")).join(patterns, "pattern")
+    loose = slots.select("row", F.explode("others").alias("o")).select("row", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
+    loose = join_hot(loose, patterns, ["pattern"], "rows")
     marked = ws.table(loose.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("row", "start", "end", F.concat(F.lit("context-"), F.col("b.kind")).alias("kind"), F.lit(1).alias("side")), "marked")
     beside = slots.join(marked.select("row").distinct(), "row", "left_semi").select("row", F.explode("seeds").alias("s")).select("row", "s.start", "s.end", "s.kind", F.lit(0).alias("side"))
     order = Window.partitionBy("row").orderBy("start", "side", "end")

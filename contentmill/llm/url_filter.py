@@ -64,19 +64,33 @@ def match_rules(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame)
     return pages.join(best, "row", "left").select(*pages.columns, "best.rule", "best.ruled")
 
 
-def host_shares(ws: Workspace, keys: DataFrame) -> DataFrame:
-    """``host``, ``n`` (its keys) and ``share``: smoothed shares of blocked labels from the root over the host's
-    suffixes (org, example.org, a.example.org) down to the host itself."""
-    hosts = ws.table(keys.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels")), "hosts")
+def shares_around(ws: Workspace, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What other hosts tell: ``host``, ``n`` (its keys), ``share``; and ``host``, ``prefix``, ``told``, ``n``.
+
+    A prefix is a path's first segment. Every suffix of a host (org, example.org,
+    a.example.org) and the root of all sum up the labels of their hosts, prefix by prefix.
+    ``share`` is smoothed from the root over the suffixes down to the host; there each
+    labelled prefix counts as one label, so that one that a rule has labelled throughout
+    doesn't speak for all others. ``told`` lists, for the root and the suffixes above the
+    host, the blocked and all labels of the same prefix.
+    """
+    pairs = keys.groupBy("host", F.coalesce(F.get("segments", F.lit(0)), F.lit("")).alias("prefix")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels"))
+    pairs = ws.table(pairs, "pairs")
+    hosts = ws.table(pairs.groupBy("host").agg(F.sum("n").alias("n")), "hosts")
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
-    nodes = hosts.select(F.explode(F.concat(F.array(F.lit("*")), suffixes)).alias("node"), "bad", "labels").groupBy("node").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels")).where("labels > 0")
-    nodes = ws.table(nodes, "suffixes")
-    root = nodes.where("node = '*'").select("bad", "labels").first() or (0.0, 0.0)
-    top = (root[0] + PARENT_WEIGHT * PRIOR_SHARE) / (root[1] + PARENT_WEIGHT)
-    chain = join_hot(hosts.select("host", F.posexplode(suffixes).alias("at", "node")), nodes.where("node <> '*'"), ["node"], "n").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "bad", "labels"))).alias("chain"))
-    share = F.aggregate("chain", F.lit(top), lambda share, n: _smoothed(n["bad"], n["labels"], share))
-    return ws.table(hosts.join(chain, "host", "left").select("host", "n", F.coalesce(share, F.lit(top)).alias("share")), "shares")
+    suffixes = F.concat(F.array(F.lit("*")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), ".")))
+    spread = pairs.select("prefix", F.explode(suffixes).alias("node"), "bad", "labels")
+    nodes = ws.table(spread.groupBy("node", "prefix").agg(F.count("*").alias("rows"), F.sum("bad").alias("bad"), F.sum("labels").alias("labels")).where("labels > 0"), "prefixes")
+    # How many hosts have a suffix, for the join; a prefix is one label of its average.
+    sizes = hosts.select(F.explode(suffixes).alias("node")).groupBy("node").agg(F.count("*").alias("rows"))
+    whole = ws.table(nodes.groupBy("node").agg(F.sum(F.col("bad") / F.col("labels")).alias("bad"), F.count("*").cast("double").alias("labels")).join(sizes, "node"), "suffixes")
+    met = join_hot(hosts.select("host", F.posexplode(suffixes).alias("at", "node")), whole, ["node"], "rows")
+    chain = met.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "bad", "labels"))).alias("chain"))
+    share = F.aggregate(F.coalesce("chain", F.array().cast("array<struct<at:int,bad:double,labels:double>>")), F.lit(PRIOR_SHARE), lambda share, n: _smoothed(n["bad"], n["labels"], share))
+    shares = ws.table(hosts.join(chain, "host", "left").select("host", "n", share.alias("share")), "shares")
+    above = pairs.select("host", "prefix", "n", F.posexplode(F.slice(suffixes, F.lit(1), F.size(labels))).alias("at", "node"))
+    told = join_hot(above, nodes, ["node", "prefix"], "rows").groupBy("host", "prefix").agg(F.array_sort(F.collect_list(F.struct("at", "bad", "labels"))).alias("told"), F.first("n").alias("n"))
+    return shares, ws.table(told, "told")
 
 
 def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
@@ -90,7 +104,10 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
     at once, so there are no more steps than real forks on a path, and no limit to depth.
     Counts are sums by key; no host's paths are gathered.
     """
-    state = join_hot(keys, host_shares(ws, keys), ["host"], "n").select("host", "segments", "bad", "labels", F.lit("").alias("template"), F.lit(0).alias("level"), "share", F.lit(False).alias("done"))
+    shares, told = shares_around(ws, keys)
+    rooted = join_hot(keys, shares, ["host"], "n").drop("n").withColumn("prefix", F.coalesce(F.get("segments", F.lit(0)), F.lit("")))
+    rooted = join_hot(rooted, told, ["host", "prefix"], "n", "left")
+    state = rooted.select("host", "segments", "bad", "labels", F.lit("").alias("template"), F.lit(0).alias("level"), "share", F.lit(False).alias("done"), "told")
     state = ws.table(state, "tree-0")
     done, step = [], 0
     node, rest = ["host", "template"], F.expr("array_join(slice(segments, level + 1, size(segments)), '/')")
@@ -114,6 +131,10 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
         name = F.when(F.col("segment") == "", "end").when(small, "leaf").when(F.col("kinds") == 1, "stretch").when(F.when(told, close).otherwise(varies), "any").otherwise("own")
         named = v.select(*node, "segment", "n", name.alias("name"), F.col("share").alias("own"), F.when(F.col("kinds") == 1, shared).alias("shared"))
         own = F.replace("segment", F.lit("*"), F.lit("%2A"))
+        share = F.col("own")
+        if step == 0:
+            elsewhere = F.aggregate(F.coalesce("told", F.array().cast(state.schema["told"].dataType)), F.col("own"), lambda share, n: _smoothed(n["bad"], n["labels"], share))
+            share = F.when(F.col("name").isin("own", "stretch", "leaf"), elsewhere).otherwise(share)
         named = ws.table(named, f"named-{step}")
         grown = join_hot(at, named, [*node, "segment"], "n").select(
             "host",
@@ -123,7 +144,7 @@ def path_templates(ws: Workspace, keys: DataFrame) -> DataFrame:
             F.when(F.col("name") == "end", F.col("template")).when(F.col("name") == "leaf", F.concat("template", F.lit("/"), rest)).when(F.col("name") == "any", F.concat("template", F.lit("/*")))
             .when(F.col("name") == "own", F.concat("template", F.lit("/"), own)).otherwise(F.concat("template", F.lit("/"), F.expr("array_join(slice(segments, level + 1, shared - level), '/')"))).alias("template"),
             F.when(F.col("name") == "stretch", F.col("shared")).otherwise(F.col("level") + 1).alias("level"),
-            F.when(F.col("name") == "leaf", _smoothed(F.col("bad"), F.col("labels"), F.col("own"))).otherwise(F.col("own")).alias("share"),
+            F.when(F.col("name") == "leaf", _smoothed(F.col("bad"), F.col("labels"), share)).otherwise(share).alias("share"),
             F.col("name").isin("end", "leaf").alias("done"),
         )
         step += 1
@@ -144,8 +165,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     ``verdict`` (block or allow), ``template`` and ``impurity``. Urls that a rule decides
     are labels for the tree, besides ``labels`` (the id and verdict of some more); a
     different path counts as one label however often it occurs. A template is rejected when
-    its share of blocked labels, smoothed toward that of its branch, its host and the host's
-    domain, is at least ``REJECT_FROM``.
+    its share of blocked labels, smoothed toward that of its branch, of the same first
+    segment on other hosts, of its host and of the host's domain, is at least ``REJECT_FROM``.
 
     A null url or one without :// has an empty host and path and is judged like others of
     that host; repeated rows each get a row; a null id stays; paths of any depth are walked
