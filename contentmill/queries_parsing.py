@@ -440,6 +440,42 @@ def generate_and_judge(spark, sf_dir):
     return judged.select("i", "attempt", "status", F.col("motivo_rejeicao").alias("reason"), "error")
 
 
+@query("""
+    with topics as (select c_custkey, row_number() over (order by c_custkey) - 1 as r, count(*) over () as n from customer where c_mktsegment = 'MACHINERY')
+    select i, c_custkey from range(400) t(i) join topics on r = i % n""")
+def batch_plan(spark, sf_dir):
+    """Requests of a batch: topics in turn, of those whose subject or title matches a name that may be cut short."""
+    topics = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("materia"), F.col("c_name").alias("tema"))
+    return generation.plan_batch(topics, 400, "c_custkey", "Machin.").select(F.col("i").cast("long").alias("i"), "c_custkey")
+
+
+@query("""
+    select count(*) filter (where c_custkey % 7 <> 3 and c_custkey % 5 <> 2 and c_custkey % 11 <> 4) as pending, count(*) filter (where c_custkey % 7 <> 3 and (c_custkey % 5 = 2 or c_custkey % 11 = 4)) as rejected,
+        count(*) filter (where c_custkey % 7 = 3) as failed from customer""")
+def batch_outcomes(spark, sf_dir):
+    """A batch by a generator of single drafts that fails at times, a verifier that only sees drafts whose quotation holds, and the counts."""
+    requests = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_mktsegment").alias("materia"))
+
+    def make(request: dict) -> dict:
+        if request["i"] % 7 == 3:
+            raise ValueError("no draft")
+        said = "ausente" if request["i"] % 11 == 4 else "trecho"
+        return {"enunciado": "stem", "comentario": f'diz "{said}"', "gabarito": "C", "formato": "certo_errado", "trecho": "um trecho"}
+
+    def verifier(drafts: DataFrame) -> DataFrame:
+        return drafts.withColumn("key_ok", F.when(F.col("i") % 11 == 4, F.raise_error(F.lit("the quotation doesn't hold")).cast("boolean")).otherwise(F.col("i") % 5 != 2))
+
+    root = _scratch(spark, "batch")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    generator = generation.per_request(make, "enunciado string, comentario string, resposta string, resolucao string, alternativas map<string,string>, gabarito string, formato string, trecho string")
+    drafts = generation.generate_twice(requests, generator, keep)
+    return generation.batch_summary(generation.judge_drafts(drafts, generation.PRODUCTS["mestre_questoes"], keep, verifier))
+
+
 # Files: documents, JSON and CSV intake, reports and backups, written and read again.
 
 
