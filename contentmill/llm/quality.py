@@ -184,6 +184,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """One row per input row: the id, ``held_out``, ``score`` and ``predicted``; odd rows as in ``classify_quality``."""
+
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column(1)):
@@ -195,7 +197,12 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all columns, without a shuffle."""
+    """The rows of ``docs`` that score ``threshold`` or more, with all columns, without a shuffle.
+
+    Null and blank texts are scored like any text without words; each row is judged by its
+    text alone, so equal texts stay or go together, under any id; columns may have any
+    names; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -211,7 +218,9 @@ def keep_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text"
 def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: the id, ``held_out``, ``score`` in 0..1 and ``predicted``.
 
-    Only statistics of the text enter a score. Null and blank texts are scored like any
+    Only statistics of the text enter a score: random Fourier features of them, and the
+    standardised statistics themselves. ``ORDERING`` of a score is a sigmoid of the raw
+    score, which orders rows within a step of the isotonic calibration. Null and blank texts are scored like any
     text without words; repeated rows get equal scores; a null id stays null and isn't
     held out; other columns are ignored; an empty table gives an empty result. Without
     labels of both classes every score is the smoothed share of label 1.

@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
     return f"{tempfile.gettempdir()}/contentmill"
 
