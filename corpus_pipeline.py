@@ -1,7 +1,8 @@
 """Cleaning and mixing of a corpus: a fixed order of operators over ``documents``.
 
 Each stage takes what its predecessor kept, as a table in the shared folder, and all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Further columns stay, whatever their names; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from contentmill.llm.workspace import Workspace
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It is fitted on the table's own labels."""
+    """Documents that the classifier rejects go. It is fitted on the table's own labels.
+
+    Null and empty texts are scored like any text without words; equal texts stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels, id_col="doc_id", text_col="text", label_col="quality")
     return keep_quality(docs, model)
@@ -40,17 +44,26 @@ def ngram_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go.
+
+    Rows that repeat an id go together; rows without id, text or words stay.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; every document stays, and ``n_chars`` follows."""
+    """Secrets are masked in the text; every document stays, and ``n_chars`` follows.
+
+    A null text stays null, with a null ``n_chars``; repeated rows are each masked.
+    """
     return mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order of the kept documents: one row for each document and pass."""
+    """The training order of the kept documents: one row for each document and pass.
+
+    A null source is one of its own; texts without tokens come along; repeated rows are documents of their own.
+    """
     return mix_sources(docs)
 
 
