@@ -18,6 +18,16 @@ from pyspark.sql import functions as F
 _ACCENTED = "".join(chr(c) for c in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore")) == 1 and d.isalpha())
 _PLAIN = "".join(unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in _ACCENTED)
 
+
+
+def _one_upper(c: str) -> str:
+    return "ẞ" if c == "ß" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+
+
+# All letters with the one letter of their upper case.
+_LOWER = "".join(c for c in map(chr, range(0x1F000)) if _one_upper(c) != c)
+_UPPER = "".join(map(_one_upper, _LOWER))
+
 # Roman numerals as tokens.
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 
@@ -120,6 +130,11 @@ def quotation_key(s: Column) -> Column:
     return F.upper(F.regexp_replace(s, r"(?U)\s+", ""))
 
 
+def upper_by_letter(s: Column) -> Column:
+    """Upper case that keeps each letter one letter; Latin-1 but ß goes the quicker way."""
+    return F.when(s.rlike(r"[^\x{00}-\x{de}\x{e0}-\x{ff}]"), F.translate(s, _LOWER, _UPPER)).otherwise(F.upper(s))
+
+
 def quotation_pieces(s: Column) -> Column:
     return F.flatten(F.transform(quotations(s), lambda q: F.split(q, JOINS)))
 

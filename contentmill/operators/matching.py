@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -351,8 +351,8 @@ def contains_all(passage: Column, pieces: Column) -> Column:
     return F.forall(pieces, lambda p: (quotation_key(p) == "") | F.contains(key, quotation_key(p)))
 
 
-def literal_matches(passages: DataFrame, passage_col: str, quotes: DataFrame, quote_col: str) -> DataFrame:
-    """Pairs of passages and quotations held literally, both as quotation keys."""
-    p = passages.withColumn("_passage", quotation_key(F.col(passage_col)))
-    q = quotes.withColumn("_quote", quotation_key(F.col(quote_col)))
+def literal_matches(passages: DataFrame, passage_col: str, quotes: DataFrame, quote_col: str, key: Callable[[Column], Column] = quotation_key) -> DataFrame:
+    """Pairs of passages and quotations held literally, both as keys: quotation keys, if no others are given."""
+    p = passages.withColumn("_passage", key(F.col(passage_col)))
+    q = quotes.withColumn("_quote", key(F.col(quote_col)))
     return contained(p, "_passage", q, "_quote").drop("_passage", "_quote")
