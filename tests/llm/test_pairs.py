@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from contentmill.llm import embedding_dedup, ngram_join
@@ -155,3 +156,26 @@ def test_embeddings_empty(spark):
     assert embedding_dedup.embedding_near_dedup(empty).count() == 0
     odd = spark.createDataFrame([(None, [1.0], 1), (2, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, embedding_dedup.embedding_near_dedup(odd).collect()), key=str) == [(2, 0, 2, True), (None, 0, None, True)]
+
+
+def test_blocks_of_the_same_documents_return_the_same_stars():
+    sets = {7: range(100), 3: range(1, 101), 5: range(2, 102), 9: range(500, 540), 4: range(500, 541)}
+    rows = [{"node": n, "side": 2, "grams": list(g)} for n, g in sets.items()]
+    schema = pa.schema([("node", pa.int64()), ("side", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r["node"])):
+        found = ngram_join._dense_block(90, 100)(pa.Table.from_pylist(order, schema))
+        assert sorted((r["a"], r["b"]) for r in found.to_pylist()) == [(3, 5), (3, 7), (4, 9)]
+
+
+def test_stars_need_no_round(spark):
+    """Small steps cost time by their number: a forest of stars is told from its links alone."""
+    ws = Workspace(spark, "t")
+    links = [(1, x) for x in range(2, 40)] + [(x, 50) for x in range(51, 60)] + [(3, 1), (70, 70), (None, 1)]
+    found = connected_components(ws, spark.createDataFrame(links, "a long, b long"))
+    assert ws.kept == ["cc-0"]
+    assert {r.node: r.component for r in found.collect()} == {x: 1 for x in range(1, 40)} | {x: 50 for x in range(50, 60)}
+    ws.free(*ws.held)
+    chain = connected_components(ws, spark.createDataFrame([(x, x + 1) for x in range(30)] + [(30, 0)], "a long, b long"), "chain")
+    assert len(ws.kept) == 2 and {r.node: r.component for r in chain.collect()} == dict.fromkeys(range(31), 0)
+    ws.free(*ws.held)
+    ws.drop(*list(ws.kept))
