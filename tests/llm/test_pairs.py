@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,22 @@ def test_a_block_of_near_copies_takes_little_memory():
     assert peak < 64e6
 
 
+def test_sets_move_as_packed_texts():
+    """A set of n-grams moves as its compressed text, which is far less than 8 bytes an n-gram."""
+    rng = random.Random(2)
+    texts = [" ".join(f"word{rng.randrange(2000)}" for _ in range(1500)) for _ in range(20)]
+    texts += [None, "", "a B", "É ß \n Ünder x" * 3, " ".join(f"v{i % 9973}" for i in range(300_000))]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["key", "text"])
+    every = SimpleNamespace(value=np.full((1 << 26) // 8, 255, dtype=np.uint8))
+    out = pa.Table.from_batches(ngram_join._sets(3, every)([batch]))
+    assert out.column("key").to_pylist() == list(range(len(texts)))
+    expected = sets_of(enumerate(texts), 3)
+    assert sum(out.slice(0, 20).column(c).nbytes for c in out.column_names) < 4 * sum(len(expected[i]) for i in range(20))
+    own = list(ngram_join._unpacked(3, *(out.column(c).combine_chunks() for c in ("size", "packed"))))
+    assert [len(x) for x in own] == [len(expected[i]) for i in range(len(texts))]
+    assert [ngram_join._set_hashes(x) for x in own] == list(zip(out.column("h1").to_pylist(), out.column("h2").to_pylist(), strict=True))
+
+
 def test_stars_need_no_round(spark):
     """Small steps cost time by their number: a forest of stars is told from its links alone."""
     ws = Workspace(spark, "t")
