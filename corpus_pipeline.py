@@ -17,12 +17,25 @@ from contentmill.llm.quality import fit_quality, keep_quality
 from contentmill.llm.secrets import mask_secrets
 from contentmill.llm.workspace import Workspace
 
+#: Rows that a Python worker gets at once. A batch of whole texts takes its size several times
+#: over in the worker, and in its executor beside the heap.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows in an Arrow batch to ``BATCH_ROWS``. Stages are planned when their
+    result is written, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It is fitted on the table's own labels.
 
     Null and empty texts are scored like any text without words; equal texts stay or go together.
     """
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels, id_col="doc_id", text_col="text", label_col="quality")
     return keep_quality(docs, model)
@@ -35,6 +48,7 @@ def ngram_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     for as many documents; of equal rows of an id one stays. Texts without words aren't
     grouped, nor are rows without an id: those all stay.
     """
+    _small_batches(spark)
     # The row is packed up, so that no column of it can clash with those beside it.
     packed = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").alias("text"))
     found = ngram_jaccard_join(packed.select(F.struct("id", "hash").alias("doc"), "text"), id_col="doc")
@@ -48,6 +62,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     Rows that repeat an id go together; rows without id, text or words stay.
     """
+    _small_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -191,6 +191,20 @@ def test_a_block_of_near_copies_takes_little_memory():
     assert peak < 64e6
 
 
+def test_a_batch_of_texts_takes_little_memory():
+    rng = random.Random(6)
+    texts = pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(350)) for _ in range(2000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), texts], ["id", "text"])
+    run = ngram_join._sketches(3, 90, 100, np.empty(0, dtype=np.uint64))
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part in run([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and peak < 24e6
+
+
 def test_sets_move_as_packed_texts():
     """A set of n-grams moves as its compressed text, which is far less than 8 bytes an n-gram."""
     rng = random.Random(2)

@@ -1,5 +1,6 @@
 """The pipeline's stages, one by one, against brute force on their own inputs."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -49,6 +50,11 @@ def test_decontamination(spark, small, stages):
     assert held and not held & after and len(before) - len(after) <= 2 * len(held)
 
 
+def test_workers_get_small_batches(spark, stages):
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert max(r.n for r in rows.collect()) <= 1000
+
+
 def test_secrets(stages):
     before = {r.doc_id: r.text for r in stages["benchmark_decontamination"].collect()}
     after = {r.doc_id: r for r in stages["secret_scans"].collect()}
